@@ -1,15 +1,63 @@
-"""The corpus pipeline (under construction)."""
+"""The corpus pipeline: quality, near-duplicates, benchmark passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and reread as the next
+stage's docs. All but the last return the columns of documents, with their decisions applied.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeseek.llm.common import new_path, table
+from lodeseek.llm.decontaminate import contamination
+from lodeseek.llm.packing import pack
+from lodeseek.llm.quality import graded, scored, train
+from lodeseek.llm.secrets import redacted
+from lodeseek.llm.simhash import near_duplicates
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose probability of the best grade is under one half."""
+    model = train(docs, graded(table(spark, sf_dir, "labels")))
+    return scored(docs, model).filter("keep").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the least doc_id; documents without a doc_id stay."""
+    found = near_duplicates(docs.filter("doc_id IS NOT NULL"))
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return found.filter("NOT contaminated").select("row.*")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kinds; every document stays."""
+    return redacted(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 ids."""
+    found = pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("packing", packing)]
 
-STAGES: list = []
+#: SQL has no hash of seed 42, no fitted classifier and no tokenizer: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

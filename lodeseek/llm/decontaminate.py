@@ -75,15 +75,18 @@ def merged(spans: set[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 13, share: int = 20, block_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:
     """A row for each row of docs: id_col, n_words, n_hit (long), hits (spans of words), items (ids as strings, sorted), contaminated.
 
     contaminated: a hit, and share * n_hit >= n_words. Null and wordless texts have no words and no hits. Items with a
     null id or without words match nothing; items that share an id count once. Repeated rows and null ids of docs come
-    back as they are. An empty benchmark leaves all documents clean. Other columns are not read.
+    back as they are. An empty benchmark leaves all documents clean. Other columns are not read; with carry, id_col is
+    replaced by row, a struct of all columns of docs.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    probed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("id")) if carry else slim
+    field, heavy = docs.columns.index(text_col), "id" if carry else "text"
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).dropna()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // block_bytes))
@@ -108,12 +111,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = slim.mapInArrow(count, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
     counts = {tuple(bytes(r["shingle"]).split(b" ")): r["n"] for r in rows}
     indexes = [spark.sparkContext.broadcast(prefix_index(part, width, counts)) for part in parts]
-    kind = slim.schema["id"].dataType.simpleString()
+    kind = probed.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in slices(batches, "text"):
-            texts = [words(t) for t in utf8(batch.column("text"))]
+        for batch in slices(batches, heavy):
+            texts = [words(t) for t in utf8(batch.column("id").field(field) if carry else batch.column("text"))]
             spans, found = [set() for _ in texts], [set() for _ in texts]
             for part in indexes:
                 index = part.value
@@ -133,5 +136,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_hit", "hits", "items"])
 
-    got = slim.mapInArrow(run, f"id {kind}, n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>")
-    return got.withColumnRenamed("id", id_col).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    got = probed.mapInArrow(run, f"id {kind}, n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>")
+    return got.withColumnRenamed("id", "row" if carry else id_col).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

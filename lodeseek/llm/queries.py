@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lodeseek.llm.common import table
 
 
+def op3_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm.simhash import near_duplicates
 
@@ -21,6 +27,13 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.licenses import license_scan
+
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm.packing import pack
 
@@ -28,6 +41,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.quality import graded, scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = scored(docs, train(docs, graded(table(spark, sf_dir, "labels"))))
+    return found.select("row.doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("p_tail", 6).alias("p_tail"), "keep")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm.decontaminate import contamination
 
@@ -66,9 +87,39 @@ def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def _license_sql() -> str:
+    """The sentence lookup and the ordered rules, one subquery a rule."""
+    from lodeseek.llm.licenses import GRANT, HINT, RULES, SENTENCES
+
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    norm = f"regexp_replace(trim(regexp_replace({low.format('{}')}, '[^a-z0-9]+', ' ', 'g')), '{GRANT}', 'under ')"
+    sql = f"""
+        WITH known(s, i) AS (VALUES {known}),
+        d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        s AS (
+            SELECT r, j, p[j] AS s FROM (SELECT r, p, unnest(range(1, len(p) + 1)) AS j FROM (
+                SELECT r, string_split(regexp_replace(text, '[.!?:]+([ \t\r\n]|\\z)|\n[ \t\r]*\n', chr(1), 'g'), chr(1)) AS p FROM d WHERE regexp_matches({low.format('text')}, '{HINT}')))
+        ), h AS (SELECT r, j, x.s AS s, known.i AS whole FROM (SELECT r, j, s, {norm.format('s')} AS n FROM s WHERE regexp_matches({low.format('s')}, '{HINT}')) x LEFT JOIN known ON known.s = n),
+        l AS (
+            SELECT r, j, k, known.i AS i FROM (SELECT r, j, k, {norm.format('p[k]')} AS n FROM (SELECT r, j, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT r, j, string_split(s, chr(10)) AS p FROM h WHERE whole IS NULL))) x
+            JOIN known ON known.s = n
+        ), ids AS (
+            SELECT r, string_agg(i, ',' ORDER BY j, k) AS ids FROM (SELECT r, j, 0 AS k, whole AS i FROM h WHERE whole IS NOT NULL UNION ALL SELECT r, j, k, i FROM l) GROUP BY r
+        ), r0 AS (SELECT doc_id, coalesce(ids, '') AS sentence_ids, CASE WHEN ids IS NULL THEN ',' ELSE ',' || ids || ',' END AS rest, CAST([] AS VARCHAR[]) AS found FROM d LEFT JOIN ids USING (r))"""
+    for n, (name, run) in enumerate(RULES):
+        want = "," + "".join(f"{i}," for i in run)
+        sql += f""",
+        r{n + 1} AS (SELECT doc_id, sentence_ids, replace(rest, '{want}', ',') AS rest, CASE WHEN contains(rest, '{want}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM r{n})"""
+    return sql + f"\n        SELECT doc_id, sentence_ids, array_to_string(found, ',') AS licenses FROM r{len(RULES)}"
+
+
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_packing": op2_packing,
+    "op3_tokencount": op3_tokencount,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_secrets": op8_secrets,
@@ -77,6 +128,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_licenses": _license_sql(),
     "op6_decontaminate": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
