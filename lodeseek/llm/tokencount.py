@@ -78,7 +78,7 @@ class Trie(dict):
             self.reset()
         node, best, count = 0, [0.0], [0]
         for end, char in enumerate(word, 1):
-            edge = node << 21 | ord(char)
+            edge = node << 21 | ord(char) if keep else 0
             child = self.edges.get(edge) if keep else None
             if child is None:
                 top, pieces = step(word, end, best, count, self.scores, self.longest, self.missing)
