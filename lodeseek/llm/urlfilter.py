@@ -65,7 +65,7 @@ def rejected_paths(paths: DataFrame, share: float, least: int, z: float, prior:
     spread = F.sqrt(pooled * (1 - pooled) / F.col("labelled"))
     similar = (F.col("labelled") >= least) & (F.abs(F.try_divide("blocked", "labelled") - pooled) <= z * spread)
     literal = (F.col("n") >= least) & (F.col("n") >= share * F.col("all_n"))
-    name = F.when(F.col("seg").contains("#") | ~literal, "*").when(similar & (F.col("labelled") < F.col("all_labelled")), "~").otherwise(F.col("seg"))
+    name = F.when(~literal, "*").when(similar & (F.col("labelled") < F.col("all_labelled")), "~").otherwise(F.col("seg"))
     named = at.join(nodes.select("host", "above", "seg", name.alias("name")), ["host", "above", "seg"])
     template = F.transform(F.array_sort(F.collect_list(F.struct("d", "name"))), lambda s: s["name"])
     templates = named.groupBy("host", "segs").agg(template.alias("template"), *(F.first(c).alias(c) for c in ("labelled", "blocked")))
