@@ -2,7 +2,7 @@
 
 Candidates are packed where they are read into shards of at most `shard_rows` vectors, without a shuffle. Query rows
 are packed into blocks of about `block_rows`; a shard meets every block of the stated query set through an equi-join on
-the block number, so the largest object in a task is a shard and a block, at any input size. For a query and a shard
+the block number (each block given out in several copies while blocks are fewer than tasks), so the largest object in a task is a shard and a block, at any input size. For a query and a shard
 each dimension j has a posting array (the shard's column) and bounds lo_j <= q_j * x_j <= hi_j from the column's
 extremes. Dimensions are ordered by hi - lo. Those whose ranges, summed from the end, cannot lift a candidate over the
 current threshold are non-essential: the essential columns are traversed for the whole shard, the others are probed
@@ -116,7 +116,7 @@ def _first(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], score[order]
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, shard_rows: int = 2048, block_rows: int = 2048) -> DataFrame:
     """query_id long, rank int, vec_id long, score long: the k best other rows of each row whose id is divisible by `every`.
 
     Rows with a null id, or a vector that is null or holds a null or non-finite component, take no part. Vectors of
@@ -128,8 +128,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     n = asked.count()
     blocks = max(1, -(-n // block_rows))
     asked = cut(_packed(asked.repartition(blocks, F.xxhash64("id")), block_rows, True))
+    # Few blocks would meet all shards in few tasks: each block is given out `spread` times, and a shard meets one copy.
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    spread = max(1, tasks // blocks)
+    asked = asked.select("part", F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("copy"))
     shards = _packed(frame, shard_rows, False).select(F.col("blob").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    met = shards.join(asked.withColumnRenamed("blob", "queries"), "part")
+    shards = shards.withColumn("copy", F.pmod(F.xxhash64("shard"), F.lit(spread)).cast("int"))
+    met = shards.repartition(max(tasks, blocks), "part", "copy").join(asked, ["part", "copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
