@@ -46,15 +46,19 @@ def doc_lengths(tokens: DataFrame) -> DataFrame:
     return with_stems(tokens).select("doc_id", "field", "call", "term").distinct().groupBy("doc_id").agg(F.count("*").cast("int").alias("doc_length"))
 
 
+def posting_lengths(posting_rows: DataFrame) -> DataFrame:
+    """doc_lengths of an index whose fields are called once a document (all but H1 and H2)."""
+    return posting_rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("doc_length"))
+
+
 def terms(posting_rows: DataFrame) -> DataFrame:
     """(term, df)"""
     return posting_rows.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
 
 
-def build_docs(docs: DataFrame, tokens: DataFrame, body: str, key: str = "doc_id") -> DataFrame:
-    """The docs table. docs may have url, title, published_at, modified_at and era; what it lacks is empty or unknown."""
+def build_docs(docs: DataFrame, lengths: DataFrame, body: str, key: str = "doc_id") -> DataFrame:
+    """The docs table, with doc_length from lengths (doc_id, doc_length). docs may have url, title, published_at, modified_at and era; what it lacks is empty or unknown."""
     have = lambda c, default: F.col(c) if c in docs.columns else F.lit(default)
-    lengths = doc_lengths(tokens)
     text = F.coalesce(F.col(body), F.lit(""))
     url = have("url", "").cast("string")
     rows = docs.select(

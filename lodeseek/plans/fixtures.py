@@ -32,6 +32,7 @@ def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def values(rows: list[tuple]) -> str:
-    """The same rows in SQL."""
+    """The same rows in SQL, as a subquery of columns column0, column1 and so on."""
     cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''").replace("\n", "'||chr(10)||'").replace("\r", "'||chr(13)||'").replace("\t", "'||chr(9)||'") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+    names = ", ".join(f"column{i}" for i in range(len(rows[0])))
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") _v({names}))"

@@ -404,7 +404,7 @@ ORACLES = {
     "content_date": f"SELECT column0 AS id, {in_content('column1')} AS t FROM {fx.values(fx.CONTENT)}",
     "best_date": f"""WITH {DATED}, x AS (SELECT o_orderkey, o_orderkey % 4 AS k, (date_diff('day', DATE '1970-01-01', day)) * 86400 + 43200 AS t, date_diff('day', DATE '1970-01-01', date_trunc('month', day)) * 86400 + 43200 AS m FROM o),
         y AS (SELECT o_orderkey, CASE k WHEN 0 THEN t WHEN 1 THEN m WHEN 2 THEN t ELSE 0 END AS published, CASE k WHEN 3 THEN t ELSE 0 END AS modified FROM x)
-        SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 0 ELSE published END AS published, modified, {era("CASE WHEN o_orderkey % 4 = 1 THEN 0 WHEN published > 0 THEN published ELSE modified END")} AS era FROM y""",
+        SELECT o_orderkey, published, modified, {era("CASE WHEN published > 0 THEN published ELSE modified END")} AS era FROM y""",
     "format_results": f"""WITH {P}, x AS (SELECT page_id, url, {html_title()} AS title, {html_text()} AS text, (page_id % 4) * 556590000 AS t, (page_id % 7) / 20.0 AS a FROM p), y AS (SELECT *, regexp_replace(translate({snippet('text')}, chr(10) || chr(13) || chr(9), '   '), ' +', ' ', 'g') AS s FROM x)
         SELECT page_id, CASE WHEN title = '' THEN '(No title)' WHEN len(title) > 60 THEN substr(title, 1, 57) || '...' ELSE title END AS title, CASE WHEN len(url) > 65 THEN substr(url, 1, 62) || '...' ELSE url END AS url,
         {with_era('t')} || CASE WHEN NOT (t > 0 AND t < {CUT}) AND a > 0.01 THEN '  AI: ' || CAST(floor(CAST(a AS DOUBLE) * 100) AS BIGINT) || '%' ELSE '' END AS line, CASE WHEN len(s) > 100 THEN substr(s, 1, 97) || '...' ELSE s END AS snippet FROM y""",

@@ -17,6 +17,7 @@ from lodeseek.operators import ranking as rk
 from lodeseek.operators import robots as rb
 from lodeseek.plans import fixtures as fx
 from lodeseek.plans.query import parse_query
+from lodeseek.session import shared_path
 from lodeseek.sources import pages as pg
 from lodeseek.sources import store as st
 
@@ -49,16 +50,46 @@ def body_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return ix.field_tokens(docs_of(spark, folder), {"BODY": "text"})
 
 
-def body_index(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
-    """docs, postings, terms, statistics of a body-only index."""
-    source = docs_of(spark, folder)
-    tokens = ix.field_tokens(source, {"BODY": "text"})
-    docs, rows = ix.build_docs(source, tokens, "text"), ix.postings(tokens)
-    return docs, rows, ix.terms(rows), ix.index_stats(docs, ix.terms(rows))
+_STORES: dict[tuple[str, str, str], st.IndexStore] = {}
+
+
+def stored(spark: SparkSession, folder: str, kind: str, source: DataFrame, columns: dict[str, str], body: str) -> st.IndexStore:
+    """The index of a folder's documents or pages, built and published once a session; searches read it."""
+    key = (spark.sparkContext.applicationId, folder, kind)
+    if key not in _STORES or _STORES[key].current() is None:
+        store = st.IndexStore(spark, shared_path(spark, f"index-{kind}"))
+        store.commit({
+            "postings": ix.postings(ix.field_tokens(source, columns)),
+            "docs": lambda read: ix.build_docs(source, ix.posting_lengths(read("postings")), body),
+            "terms": lambda read: ix.terms(read("postings")),
+        })
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def body_store(spark: SparkSession, folder: str) -> st.IndexStore:
+    return stored(spark, folder, "body", docs_of(spark, folder), {"BODY": "text"}, "text")
+
+
+def page_store(spark: SparkSession, folder: str) -> st.IndexStore:
+    parsed = ix.parsed_documents(pages_of(spark, folder))
+    return stored(spark, folder, "pages", parsed, {"TITLE": "title", "BODY": "body", "META_DESC": "description", "URL": "url"}, "body")
+
+
+def tables(store: st.IndexStore, words: list[str] | None = None) -> tuple[DataFrame, ...]:
+    """docs, postings (of words alone, if given), terms, statistics."""
+    docs, terms = store.read("docs"), store.read("terms")
+    rows = store.read("postings").drop("bucket") if words is None else store.term_postings(words)
+    return docs, rows, terms, ix.index_stats(docs, terms)
+
+
+def found_in(store: st.IndexStore, text: str, params: rk.Params = rk.Params()) -> DataFrame:
+    parsed = parse_query(text)
+    return rk.ranked(parsed, *tables(store, [*parsed.scoring_terms(), *parsed.excluded]), params)
 
 
 def search(spark: SparkSession, folder: str, text: str, params: rk.Params = rk.Params()) -> DataFrame:
-    return rk.ranked(parse_query(text), *body_index(spark, folder), params)
+    return found_in(body_store(spark, folder), text, params)
 
 
 def scored(matches: DataFrame) -> DataFrame:
@@ -176,7 +207,7 @@ def multi_field_index(spark, folder):
 
 @query
 def is_indexed(spark, folder):
-    docs = body_index(spark, folder)[0]
+    docs = body_store(spark, folder).read("docs")
     return docs.filter("doc_id IN (0, 5, 77)").select("doc_id", F.col("doc_length").cast("long").alias("doc_length"), "era", "domain")
 
 
@@ -189,9 +220,9 @@ def bm25_or(spark, folder):
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    docs, *rest = body_index(spark, folder)
-    winners = rk.top(rk.ranked(parse_query(FLAGSHIP), docs, *rest), 10)
-    return rk.with_display(winners, docs).select("doc_id", F.round("score", 6).alias("score"), "snippet")
+    store = body_store(spark, folder)
+    winners = rk.top(found_in(store, FLAGSHIP), 10)
+    return rk.with_display(winners, store.read("docs")).select("doc_id", F.round("score", 6).alias("score"), "snippet")
 
 
 QUERIES["bm25_topk"] = flagship
@@ -243,7 +274,7 @@ def batch_search(spark, folder):
     """Every benchmark item as a query over documents, in one job."""
     words = ix.field_tokens(read(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), {"BODY": "text"})
     asked = tx.with_stems(words).groupBy(F.col("doc_id").alias("query_id"), "term").agg(F.count("*").alias("times"))
-    found = rk.batch_top(asked, *body_index(spark, folder), k=3)
+    found = rk.batch_top(asked, *tables(body_store(spark, folder)), k=3)
     return found.select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -254,21 +285,14 @@ def parsed_queries(spark, folder):
     return fx.frame(spark, rows, "query string, terms string, phrases string, excluded string, era string, max_ai double, min_ai double, site string")
 
 
-def page_index(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
-    parsed = ix.parsed_documents(pages_of(spark, folder))
-    tokens = ix.field_tokens(parsed, {"TITLE": "title", "BODY": "body", "META_DESC": "description", "URL": "url"})
-    docs, rows = ix.build_docs(parsed, tokens, "body"), ix.postings(tokens)
-    return docs, rows, ix.terms(rows), ix.index_stats(docs, ix.terms(rows))
-
-
 @query
 def site_filter(spark, folder):
-    return scored(rk.ranked(parse_query("thing the onth site:example.com"), *page_index(spark, folder)))
+    return scored(found_in(page_store(spark, folder), "thing the onth site:example.com"))
 
 
 @query
 def era_filter(spark, folder):
-    docs, *rest = body_index(spark, folder)
+    docs, *rest = tables(body_store(spark, folder), ["attion"])
     docs = docs.withColumn("era", F.when(F.col("doc_id") % 3 == 0, "pre-ai").when(F.col("doc_id") % 3 == 1, "post-ai").otherwise("unknown"))
     return scored(rk.ranked(parse_query("attion era:ai-era"), docs, *rest))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +18,13 @@ SETTINGS = {
 def session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName("lodeseek").config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; local sessions without one get a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="lodeseek-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,16 @@ class IndexStore:
         pointers = self.versions()
         return pointers[-1].split("-", 2)[2] if pointers else None
 
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """Writes all tables to a version that nothing refers to yet; leaving it unpublished is a rollback."""
+    def write(self, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]]) -> str:
+        """Writes all tables, in order, to a version that nothing refers to yet; leaving it unpublished is a rollback.
+
+        A table may be a function of a reader of those already written, so that it is derived from them, not from their sources.
+        """
         version = uuid.uuid4().hex
+        written = lambda name: self.spark.read.parquet(f"{self.root}/{version}/{name}")
         for name, frame in tables.items():
             path = f"{self.root}/{version}/{name}"
+            frame = frame(written) if callable(frame) else frame
             if name == "postings":
                 bucketed(frame).repartition(F.col("bucket")).sortWithinPartitions("term", "doc_id").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
             else:
@@ -51,7 +57,7 @@ class IndexStore:
         if not self._fs.rename(self._paths(temporary), self._paths(final)):
             raise RuntimeError(f"cannot publish {version}")
 
-    def commit(self, tables: dict[str, DataFrame]) -> str:
+    def commit(self, tables: dict) -> str:
         version = self.write(tables)
         self.publish(version)
         return version

@@ -5,23 +5,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+import lodeseek.streaming
 from lodeseek.functions.urls import domain_mt, url_normalize_mt
-from lodeseek.operators.index import build_docs, field_tokens, latest, merge_postings, parsed_documents, postings, terms
+from lodeseek.operators.index import build_docs, field_tokens, latest, merge_postings, parsed_documents, posting_lengths, postings, terms
 from lodeseek.sources.store import IndexStore
 
+cloudpickle.register_pickle_by_value(lodeseek.streaming)
+
 PAGES = "page_id long, url string, html string"
 COLUMNS = {"TITLE": "title", "BODY": "body", "META_DESC": "description", "URL": "url"}
 
 
 def index_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """docs and postings of index input (doc_id, url, title, body, description, dates, era)."""
-    tokens = field_tokens(parsed, COLUMNS)
-    return {"docs": build_docs(parsed, tokens, "body"), "postings": postings(tokens)}
+    rows = postings(field_tokens(parsed, COLUMNS))
+    return {"docs": build_docs(parsed, posting_lengths(rows), "body"), "postings": rows}
 
 
 def merge_batch(store: IndexStore, pages: DataFrame) -> None:
@@ -32,7 +36,7 @@ def merge_batch(store: IndexStore, pages: DataFrame) -> None:
         new = delta["docs"].select("doc_id")
         delta["docs"] = base["docs"].join(new, "doc_id", "left_anti").unionByName(delta["docs"])
         delta["postings"] = merge_postings(base["postings"].drop("bucket"), delta["postings"])
-    delta["terms"] = terms(delta["postings"])
+    delta["terms"] = lambda read: terms(read("postings"))
     store.commit(delta)
 
 
