@@ -52,14 +52,20 @@ MORE = (
 
 
 @cache
-def scanner(rules: tuple[Rule, ...]) -> tuple:
-    """The combined automaton as rows of rows (entry 256: the rules accepted), and each rule's three small ones."""
+def compiled(rules: tuple[Rule, ...]) -> tuple:
+    """The combined automaton, and each rule's three small ones; compiled on the driver and sent to the tasks."""
     trees = [parse(r.trigger) for r in rules]
     table, accepts = compile_rules(trees, search=True)
+    own = [tuple(compile_rules([x], False) for x in (reverse(t), parse(r.trigger + r.middle + r.body), parse(r.trigger + r.middle))) for t, r in zip(trees, rules)]
+    return table, accepts, own
+
+
+def scanner(machine: tuple) -> tuple:
+    """The combined automaton as rows of rows (entry 256: the rules accepted), and the small ones."""
+    table, accepts, own = machine
     rows: list[list] = [[] for _ in table]
     for row, states, found in zip(rows, table, accepts):
         row += [rows[t] for t in states] + [found]
-    own = [tuple(compile_rules([x], False) for x in (reverse(t), parse(r.trigger + r.middle + r.body), parse(r.trigger + r.middle))) for t, r in zip(trees, rules)]
     return rows, own
 
 
@@ -77,9 +83,9 @@ def _longest(automaton: tuple, data: bytes, at: int, end: int, step: int) -> int
     return best
 
 
-def scan(data: bytes, rules: tuple[Rule, ...] = BASE + MORE) -> list[tuple[int, int, int]]:
-    """(start, end, rule number) in bytes, sorted."""
-    rows, own = scanner(rules)
+def scan(data: bytes, rules: tuple[Rule, ...] = BASE + MORE, using: tuple | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, rule number) in bytes, sorted. using: the rules' scanner, if it is there already."""
+    rows, own = using or scanner(compiled(rules))
     found, last, state = [], [0] * len(rules), rows[0]
     for at, byte in enumerate(data, 1):
         state = state[byte]
@@ -117,12 +123,13 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have no spans. Null and repeated ids come back as they are. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
+    kind, machine = slim.schema["id"].dataType.simpleString(), compiled(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using = scanner(machine)
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in slices(batches, "text"):
-            found = [code_points(t, scan(t, rules)) if t else [] for t in utf8(batch.column("text"))]
+            found = [code_points(t, scan(t, rules, using)) if t else [] for t in utf8(batch.column("text"))]
             spans = [[{"kind": rules[r].kind, "start": s, "end": e} for s, e, r in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, span)], names=["id", "spans"])
 
@@ -136,12 +143,13 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     All columns come back in their order; a null text stays null.
     """
     names = docs.columns
-    at = names.index(text_col)
+    at, machine = names.index(text_col), compiled(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using = scanner(machine)
         for batch in slices(batches, names[at]):
             column = batch.column(at)
-            texts = [None if t is None else replaced(t, scan(t, rules)) for t in utf8(column)]
+            texts = [None if t is None else replaced(t, scan(t, rules, using)) for t in utf8(column)]
             columns = list(batch.columns)
             columns[at] = pa.array([None if t is None else t.decode() for t in texts], column.type)
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -24,7 +23,6 @@ VOCABULARY = "piece_bpe_32k.model"
 _MARK = "▁"
 
 
-@cache
 def unigram(path: str) -> tuple[dict[str, float], int, float]:
     """Scores of the pieces in a sentencepiece file, the longest piece, and the score of a character without one.
 
