@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,13 +50,17 @@ MORE = (
 )
 
 
-@cache
+_COMPILED: dict[tuple, tuple] = {}  # a function under functools.cache would not reach executors by value
+
+
 def compiled(rules: tuple[Rule, ...]) -> tuple:
     """The combined automaton, and each rule's three small ones; compiled on the driver and sent to the tasks."""
+    if rules in _COMPILED:
+        return _COMPILED[rules]
     trees = [parse(r.trigger) for r in rules]
     table, accepts = compile_rules(trees, search=True)
     own = [tuple(compile_rules([x], False) for x in (reverse(t), parse(r.trigger + r.middle + r.body), parse(r.trigger + r.middle))) for t, r in zip(trees, rules)]
-    return table, accepts, own
+    return _COMPILED.setdefault(rules, (table, accepts, own))
 
 
 def scanner(machine: tuple) -> tuple:
