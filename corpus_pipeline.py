@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.common import new_path, table
 from lodeseek.llm.decontaminate import contamination
+from lodeseek.llm.nearcopies import near_copies
 from lodeseek.llm.packing import pack
 from lodeseek.llm.quality import graded, scored, train
 from lodeseek.llm.secrets import redacted
-from lodeseek.llm.simhash import near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least doc_id; documents without a doc_id stay."""
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL"))
+    """One document of each group of near copies stays, that of the least doc_id; documents without a doc_id stay.
+
+    Near copies have a Jaccard similarity of 0.8 or more over five-word shingles (op4's fingerprints and 4 bits are another rule).
+    """
+    found = near_copies(docs)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
