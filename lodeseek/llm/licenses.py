@@ -55,6 +55,12 @@ SENTENCES = {f"under {name}": f"{license}~" for license, names in _LICENSES.item
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "you may not use this file except in compliance with the license": "apache-comply",
     "you may obtain a copy of the license at": "apache-copy",
+    "under apache license version 2 0 the license": "Apache-2.0~",
+    "under apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-header",
+    "the asf licenses this file to you under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-header",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
@@ -75,6 +81,8 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl2-later", "gpl-warranty")),
     ("GPL-2.0-or-later", ("gpl2-later",)),
     ("Apache-2.0", ("Apache-2.0~", "apache-comply", "apache-copy")),
+    ("Apache-2.0", ("apache-header", "apache-copy")),
+    ("Apache-2.0", ("apache-header",)),
     ("Unlicense", ("unlicense",)),
     ("Public-Domain", ("public-domain",)),
     *((license, (f"{license}~",)) for license in _LICENSES),
