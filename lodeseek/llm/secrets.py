@@ -39,12 +39,18 @@ BASE = (
     Rule("access", "AKIA", "[A-Z0-9]+", 12),
     Rule("hex", "[0-9a-f]{32}", "[0-9a-f]*"),  # a shorter run holds no start of another match
 )
+#: A key runs to its END line, wrapped, escaped or on one line. Without one, it runs over fields such as DEK-Info and
+#: over pieces of 16 or more base64 characters, and the shorter piece that may follow them.
+_PEM_END = "([A-Z]+ )*PRIVATE KEY-----"
+_PEM_CLOSED = f"([^-]|-{{1,4}}[^-])*-----END {_PEM_END}"
+_PEM_GAP = "(\\s|\\\\n|\\\\r)+"
+_PEM_OPEN = f"({_PEM_GAP}[A-Z][A-Za-z-]*:[^\\n]*)*({_PEM_GAP}[A-Za-z0-9+/=]{{16,}})+({_PEM_GAP}[A-Za-z0-9+/=]+)?"
 MORE = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", 36),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", 10),
     Rule("google", "AIza", "[A-Za-z0-9_-]+", 35),
     Rule("stripe", "[rs]k_(live|test)_", "[A-Za-z0-9]+", 16),
-    Rule("private_key", "-----BEGIN ", "([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN ", f"{_PEM_END}({_PEM_CLOSED}|{_PEM_OPEN})?"),
     Rule("jwt", "eyJ", "[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 24),
     Rule("url_login", "[a-z]://", "[A-Za-z0-9._-]+:[A-Za-z0-9._~!$&*+=-]+@", 4),
 )
