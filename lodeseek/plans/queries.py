@@ -132,7 +132,7 @@ def snippet(spark, folder):
 
 @query
 def trim_whitespace(spark, folder):
-    return docs_of(spark, folder).select("doc_id", tx.trim_whitespace(F.concat(F.lit(" \t\n"), F.substring("text", 1, 40), F.lit("\f\n "))).alias("trimmed"))
+    return docs_of(spark, folder).select("doc_id", tx.trim_whitespace(F.concat(F.lit(" \t\n"), F.col("text"), F.lit("\f\n "))).alias("trimmed"))
 
 
 @query
