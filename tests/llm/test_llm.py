@@ -359,15 +359,16 @@ def test_token_counts(spark):
     import public_tokenizers
     from tokenizers import Tokenizer, models
 
-    from lodeseek.llm.tokencount import Trie, token_counts, unigram
+    from lodeseek.llm.tokencount import Counter, token_counts, unigram
 
-    scores, longest, missing = unigram(public_tokenizers.path("piece_bpe_32k.model"))
+    scores, missing = unigram(public_tokenizers.path("piece_bpe_32k.model"))
+    longest = max(map(len, scores))
 
     def brute(word):  # plain forward recurrence over all pieces
         best, count = [0.0], [0]
         for end in range(1, len(word) + 1):
             options = []
-            for start in range(end):
+            for start in range(max(0, end - longest), end):
                 piece = word[start:end]
                 if piece in scores:
                     options.append((best[start] + scores[piece], -start, count[start] + 1))
@@ -380,14 +381,14 @@ def test_token_counts(spark):
 
     rng = random.Random(6)
     rows = [(10 + i, prose(rng, 50) + " " + "".join(rng.choice("abcdeé日\U0001f600xyz") for _ in range(30))) for i in range(20)] + ODD
-    for nodes, long_word in ((400_000, 256), (50, 8)):
-        got = sorted((str(r["doc_id"]), r["n_pretokens"], r["n_tokens"]) for r in token_counts(docs(spark, rows), max_nodes=nodes, long_word=long_word).collect())
-        want = sorted((str(i), len((t or "").split()), sum(brute("▁" + w) for w in (t or "").split()) if t != "x" * 5000 else Trie(scores, longest, missing, 9, 9)[b"x" * 5000]) for i, t in rows)
+    want = sorted((str(i), len((t or "").split()), sum(brute("▁" + w) for w in (t or "").split())) for i, t in rows)
+    for words, long_word in ((400_000, 256), (50, 8), (0, 10_000)):
+        got = sorted((str(r["doc_id"]), r["n_pretokens"], r["n_tokens"]) for r in token_counts(docs(spark, rows), max_words=words, long_word=long_word).collect())
         assert got == want
     known = WORDS
     other = Tokenizer(models.Unigram([("<unk>", -100.0), *scores.items()], unk_id=0))  # an independent implementation
-    trie = Trie(scores, longest, missing, 10_000, 256)
-    assert [trie[w.encode()] for w in known] == [len(other.encode("▁" + w).ids) for w in known]
+    found = Counter(scores, missing).counts([w.encode() for w in known], 256)
+    assert [found[w.encode()] for w in known] == [len(other.encode("▁" + w).ids) for w in known]
 
 
 # Quality
@@ -449,6 +450,7 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from lodeseek.llm.quality import graded, scored, train
     from lodeseek.llm.secrets import scan
+    from test_near_copies import brute_kept
 
     source = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, source).collect()
@@ -457,14 +459,13 @@ def test_pipeline(spark, tmp_path):
     frame = spark.read.parquet(f"{source}/documents.parquet")
     model = train(frame, graded(spark.read.parquet(f"{source}/labels.parquet")))
     kept = sorted(r["doc_id"] for r in scored(frame, model).filter("keep").select("row.doc_id").collect())
-    roots, least = brute_components([brute_simhash(table[i]["text"]) for i in kept]), {}
-    for i, r in zip(kept, roots):
-        least.setdefault(r, i)
-    kept = [i for i in kept if i in least.values()]
+    kept = brute_kept([(i, table[i]["text"]) for i in kept])
     clean = []
     for i in kept:
         n, hit, _ = brute_contamination(table[i]["text"], items)
-        if not (hit and 20 * hit >= n):
+        long_items = [(k, t) for k, t in items if len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t or "")) >= 13]
+        full = brute_contamination(table[i]["text"], long_items)[1] > 0
+        if not (full or hit and 20 * hit >= n):
             clean.append(i)
     assert sorted({r["doc_id"] for r in out}) == clean
     tokens = defaultdict(int)
