@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 import lodeseek.llm
 
@@ -20,6 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text)"""
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """(row): all columns in one struct, which takes any names along."""
+    return docs.select(F.struct(*map(col, docs.columns)).alias("row"))
+
+
+def fields(first: StructField, more: str) -> StructType:
+    """A schema of a known field and of fields in DDL."""
+    return StructType([StructField(first.name, first.dataType), *_parse_datatype_string(more).fields])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); local sessions without one get a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _jvm_dir(spark)

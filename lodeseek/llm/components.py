@@ -1,5 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star contractions.
 
+Nodes may be structs that begin with what a component is to be called by (its least document id, say): the root that each node
+gets then holds the component's name, and no join by component is needed.
+
 Each round is two aggregations and two equi-joins, so a hub with a third of all links is pre-aggregated on the
 map side and split by the skew join; nothing is collected but one row of convergence figures a round.
 """

@@ -1,15 +1,17 @@
-"""Near copies by exact similarity: texts whose sets of word shingles have a Jaccard similarity of at least `least`.
+"""Near copies by similarity: SimHash links, verified, and what they leave: sets of word shingles of Jaccard similarity `least` or more.
 
-A Hamming radius over simhash fingerprints cannot promise these pairs: at 5-word Jaccard 0.8 about 10 of 64 bits differ
-on average, and a byte index promises to find pairs of up to 7 differing bits only. Candidates come from prefixes
-instead: with all shingles in one order, two sets of similarity s share one of their first n - ceil(s * n) + 1. Of long
+First the SimHash operator's index (llm/simhash.py) links fingerprints of the same shingles, and its links are verified on the whole
+sets. A Hamming radius cannot promise all pairs: at five-word Jaccard 0.8 about 10 of 64 bits differ on average, and the byte
+index promises pairs of up to 7 differing bits only. So what is still apart is joined by prefixes:
+with all shingles in one order, two sets of similarity s share one of their first n - ceil(s * n) + 1. Of long
 texts fewer are needed, as their order is by hash: the least k of the union are all unshared with a probability of at most
 q ** k, where q bounds the unshared part, and `prefix` takes k for q ** k <= 1e-15, far less than the hashes' own collisions. Shingles
 that are common in a sample come last in the order, which keeps lists short; q allows for that. Candidates are verified on the whole sets.
 
 Groups are components of the verified pairs. Rounds compare the members of each list with one member of it, so that a
 dense group takes about one comparison a member; the members of a list that are then still in different components are compared pair by pair.
-Exact copies (the same words) enter once. Shingles are held as 64-bit hashes.
+Exact copies (the same words) enter once. Shingles are held as 64-bit hashes. A node of the link graph is (id, raw, uid) of the
+least document with its words, so a component's root says which document stands for it.
 """
 
 from __future__ import annotations
@@ -24,22 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import cut, slices, utf8
+from lodeseek.llm.common import col, cut, fields, slices, utf8
 from lodeseek.llm.components import components
+from lodeseek.llm.simhash import fingerprint, linked_pairs, named, shingle_hashes
 
 
 def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles (a shorter text is one shingle); empty without words."""
-    words = (text or b"").lower().split()
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - shingle + 1
-    pairs = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())
-    return np.unique(np.fromiter((digest(joined[i:j], 42) for i, j in pairs), np.uint64, n))
+    return np.unique(shingle_hashes((text or b"").lower().split(), shingle))
 
 
 def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -62,11 +56,6 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _uid(text: bytes | None) -> int:
-    """The same for the same words."""
-    return xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), 7)
-
-
 def common_shingles(slim: DataFrame, shingle: int, sample: int = 10_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several rows of a sample share, sorted, and their ranks; used for the order alone."""
 
@@ -83,36 +72,27 @@ def common_shingles(slim: DataFrame, shingle: int, sample: int = 10_000, most: i
     return keys[order], (len(keys) - np.arange(len(keys)))[order]
 
 
-def text_ids(slim: DataFrame) -> DataFrame:
-    """(id, uid long) for (id, text): a row for each row, the same uid for the same words."""
+def signatures(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, raw, uid, fp, n, keys) for (id, raw, text): the same uid for the same words, fingerprint, size of the set and its prefix."""
+    common, rank = common_shingles(rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            uid = np.array([_uid(t) for t in utf8(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _longs(uid)], names=["id", "uid"])
-
-    return slim.select("id", "text").mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, uid long")
-
-
-def _postings(slim: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(key, uid, n): the prefix of each text, n the size of its set. A task gives the same words once."""
-    common, rank = common_shingles(slim, shingle)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in slices(batches, "text"):
-            found = {}
+            known, found = {}, []
             for t in utf8(batch.column("text")):
-                if (u := _uid(t)) not in seen and len(s := shingle_set(t, shingle)):
-                    found[u] = (prefix(s, common, rank, percent), len(s))
-                seen.add(u)
-            many = [len(k) for k, _ in found.values()]
-            uid, size = np.array(list(found), np.uint64), np.array([n for _, n in found.values()], np.uint64)
-            columns = [np.concatenate([np.empty(0, np.uint64), *(k for k, _ in found.values())]), np.repeat(uid, many), np.repeat(size, many)]
-            for at in range(0, len(columns[0]), 1 << 18):
-                yield pa.RecordBatch.from_arrays([_longs(c[at : at + (1 << 18)]) for c in columns], names=["key", "uid", "n"])
+                words = (t or b"").lower().split()
+                uid = xxhash.xxh64_intdigest(b" ".join(words), 7)
+                if uid not in known:
+                    hashes = shingle_hashes(words, shingle)
+                    own = np.unique(hashes)
+                    keys = prefix(own, common, rank, percent).view(np.int64) if len(own) else []
+                    known[uid] = (uid, fingerprint(hashes), len(own), keys)
+                found.append(known[uid])
+            uid, fp, n = (_longs(np.array([x[k] for x in found], np.uint64)) for k in range(3))
+            keys = pa.array([x[3] for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), uid, fp, n, keys], names=["id", "raw", "uid", "fp", "n", "keys"])
 
-    return slim.select("text").mapInArrow(run, "key long, uid long, n long")
+    return rows.mapInArrow(run, fields(rows.schema["id"], "raw long, uid long, fp long, n long, keys array<long>"))
 
 
 _FEW = 100_000
@@ -121,17 +101,16 @@ _FEW = 100_000
 def _sets(slim: DataFrame, wanted: DataFrame) -> DataFrame:
     """(uid, found binary): the words of the wanted uids, packed, a row each."""
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = utf8(batch.column("text"))
-            uid = [_uid(t) for t in texts]
-            new = [i for i, u in enumerate(uid) if u not in seen and not seen.add(u)]
-            found = pa.array([zlib.compress(b" ".join((texts[i] or b"").lower().split()), 1) for i in new], pa.binary())
-            yield pa.RecordBatch.from_arrays([_longs(np.array([uid[i] for i in new], np.uint64)), found], names=["uid", "found"])
+            new = {}
+            for t in utf8(batch.column("text")):
+                words = b" ".join((t or b"").lower().split())
+                new.setdefault(xxhash.xxh64_intdigest(words, 7), words)
+            found = pa.array([zlib.compress(w, 1) for w in new.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([_longs(np.array(list(new), np.uint64)), found], names=["uid", "found"])
 
-    packed = slim.select("text").mapInArrow(named, "uid long, found binary")
-    return packed.join(_small(wanted), "uid", "left_semi").dropDuplicates(["uid"])
+    return slim.select("text").mapInArrow(packed, "uid long, found binary").join(_small(wanted), "uid", "left_semi").dropDuplicates(["uid"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -139,7 +118,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): the pairs whose sets are similar enough."""
+    """The pairs (a, b: nodes) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {}
@@ -160,51 +139,85 @@ def _verified(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
             keep = pa.array(close, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-    x = sets.select(F.col("uid").alias("a"), F.col("found").alias("x"))
-    y = sets.select(F.col("uid").alias("b"), F.col("found").alias("y"))
-    return x.join(_small(pairs), "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    few = _small(cut(pairs.distinct()))
+    x = sets.select(F.col("uid").alias("u"), F.col("found").alias("x"))
+    y = sets.select(F.col("uid").alias("v"), F.col("found").alias("y"))
+    met = x.join(few, F.col("u") == F.col("a.uid")).join(y, F.col("v") == F.col("b.uid")).select("a", "b", "x", "y")
+    return met.mapInArrow(run, few.select("a", "b").schema)
+
+
+def _ordered(p, q) -> tuple:
+    return F.least(p, q).alias("a"), F.greatest(p, q).alias("b")
 
 
-def similar_links(slim: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
-    """(node, root) of the components of all pairs of texts (id, text) with similarity of percent or more; nodes are uids.
+def similar_links(slim: DataFrame, texts: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 4, bits: int = 4) -> DataFrame:
+    """(node, root) of the components of all pairs of texts with similarity of percent or more. texts: (uid, node, fp, n, keys), a row a uid.
 
-    rounds changes the work, not the components.
+    rounds and bits change the work, not the components.
     """
-    postings = _postings(slim, shingle, percent).repartition("key")
-    several = postings.groupBy("key").agg(F.min("uid").alias("p"), F.max("uid").alias("q")).filter("p != q").select("key")
+    postings = texts.select(F.explode("keys").alias("key"), "node", "n").repartition("key")
+    several = postings.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p != q").select("key")
     lists = cut(postings.join(several, "key", "left_semi").distinct())
-    sets = cut(_sets(slim, cut(lists.select("uid").distinct())))
+    sets = cut(_sets(slim, cut(lists.select(F.col("node.uid").alias("uid")).distinct())))
     fits = lambda p, q: (F.lit(100) * F.least(p, q) >= F.lit(percent) * F.greatest(p, q))
-    roots = None
-    lists = lists.withColumn("root", F.col("uid"))
+    # Links of SimHash: of fingerprints that are near each other, and of texts with one fingerprint.
+    centres = cut(texts.groupBy("fp").agg(F.min("node").alias("node")))
+    near = named(linked_pairs(centres.select("fp"), bits), centres)
+    same = texts.select("fp", "node").join(centres.withColumnRenamed("node", "centre"), "fp").filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    roots = components(cut(_verified(near.unionByName(same).select(*_ordered("a", "b")), sets, shingle, percent)))
+    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lists = rooted(lists)
     for number in range(rounds + 1):
+        mixed = lists.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p != q").select("key")
+        lists = cut(lists.join(mixed, "key", "left_semi").select("key", "node", "n", "root"))
+        if lists.isEmpty():
+            return roots
         if number < rounds:
             # One centre a list, by an order that differs from round to round.
-            centre = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", F.lit(number)), "uid", "n", "root")).alias("c"))
+            centre = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node.uid", F.lit(number)), "node", "n", "root")).alias("c"))
             pairs = lists.join(centre, "key").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n")))
-            pairs = pairs.select(F.least("uid", "c.uid").alias("a"), F.greatest("uid", "c.uid").alias("b"))
+            pairs = pairs.select(*_ordered("node", "c.node"))
         else:
-            other = lists.select("key", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
-            pairs = lists.join(other, "key").filter((F.col("uid") < F.col("b")) & (F.col("root") != F.col("of")) & fits(F.col("n"), F.col("m")))
-            pairs = pairs.select(F.col("uid").alias("a"), "b")
-        found = cut(_verified(cut(pairs.distinct()), sets, shingle, percent))
-        roots = components(found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        if number == rounds:
-            return roots
-        lists = lists.drop("root").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        mixed = lists.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p != q").select("key")
-        lists = cut(lists.join(mixed, "key", "left_semi").select("key", "uid", "n", "root"))
-        if lists.isEmpty():
-            return roots
+            other = lists.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
+            pairs = lists.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("of")) & fits(F.col("n"), F.col("m")))
+            pairs = pairs.select(F.col("node").alias("a"), "b")
+        found = cut(_verified(pairs, sets, shingle, percent))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        lists = rooted(lists.drop("root"))
+    return roots
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+    """(id, raw, root) for each row of docs with an id: raw is xxhash64 of the text; root (id, raw, uid) of the least document of its group."""
+    rows = docs.filter(col(id_col).isNotNull()).select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("raw"), col(text_col).alias("text"))
+    found = cut(signatures(rows, shingle, percent))
+    least = F.min(F.struct("id", "raw", "uid")).alias("node")
+    texts = cut(found.groupBy("uid").agg(least, *(F.first(c).alias(c) for c in ("fp", "n", "keys"))))
+    roots = similar_links(rows, texts, shingle, percent, rounds)
+    of = cut(texts.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root")))
+    return found.select("id", "raw", "uid").join(of, "uid").select("id", "raw", "root")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
     """A row for each row of docs with an id: id_col, component_id (the least id of its group of near copies).
 
-    Null and wordless texts are copies of each other and of nothing else. Other columns are not read.
+    Null and wordless texts are copies of each other and of nothing else. Rows that share an id but not a text are texts of their
+    own; repeated rows come back as often as they come in. Other columns are not read. An empty table gives no rows.
+    """
+    return groups(docs, id_col, text_col, shingle, percent, rounds).select("id", F.col("root.id").alias("component_id")).withColumnRenamed("id", id_col)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+    """docs without near copies: of each group the row with the least id stays, of the rows with that id the one of the least text hash.
+
+    Rows without an id stay, all of them. Of rows that repeat an id and its text one stays, the one of the least hash of the
+    other columns. Columns come back as they are, whatever their names. An empty table stays empty.
     """
-    slim = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    roots = similar_links(slim, shingle, percent, rounds)
-    rooted = cut(text_ids(slim).join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root").select(F.col("id").alias(id_col), "component_id")
+    found = groups(docs, id_col, text_col, shingle, percent, rounds)
+    first = found.filter((F.col("id") == F.col("root.id")) & (F.col("raw") == F.col("root.raw"))).select("id", "raw").distinct()
+    others = [col(c) for c in docs.columns if c != text_col]
+    rows = docs.filter(col(id_col).isNotNull()).select(
+        col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("raw"), F.struct(*map(col, docs.columns)).alias("row"), F.xxhash64(F.to_json(F.struct(*others))).alias("rest"))
+    # Repeated rows are one before the shuffle; the join then finds the rows dealt by its own keys.
+    kept = rows.groupBy("id", "raw").agg(F.min_by("row", "rest").alias("row")).join(first, ["id", "raw"], "left_semi")
+    return kept.select("row.*").unionByName(docs.filter(col(id_col).isNull()))

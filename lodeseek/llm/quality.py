@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import slices, utf8
+from lodeseek.llm.common import boxed, col, fields, slices, utf8
 from lodeseek.llm.decontaminate import words
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -103,18 +103,23 @@ def fit(grades: np.ndarray, flat: np.ndarray, starts: np.ndarray, bits: int, lea
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = 12_000, bits: int = 18, **options) -> Model:
-    """A model from docs and their ratings (id_col, grade_col from 0 on). Ratings with nulls or without a document are ignored."""
-    rated = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).dropna().filter("grade >= 0")
+    """A model from docs and their ratings (id_col, grade_col from 0 on). Ratings with nulls or without a document are ignored.
+
+    The sample has at most max_rows ratings, those of least hashed id, and after they met their documents at most max_rows rated
+    texts, those of least hashed id, text and grade: ids that repeat, in ratings or in docs, are so many rated texts, up to that bound.
+    """
+    rated = ratings.select(col(id_col).alias("id"), col(grade_col).cast("int").alias("grade")).dropna().filter("grade >= 0")
     sample = rated.withColumn("at", F.xxhash64("id")).orderBy("at", "id", "grade").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("at", "grade", "text")
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    texts = texts.select("at", F.xxhash64("text").alias("raw"), "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [features(t, bits) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], names=["at", "grade", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("at", "raw", "grade")), pa.array(found, pa.list_(pa.int32()))], names=["at", "raw", "grade", "features"])
 
-    got = texts.mapInArrow(run, "at long, grade int, features array<int>").toArrow().combine_chunks()
-    got = got.sort_by([("at", "ascending"), ("grade", "ascending")])
+    got = texts.mapInArrow(run, "at long, raw long, grade int, features array<int>").orderBy("at", "raw", "grade").limit(max_rows).toArrow().combine_chunks()
+    got = got.sort_by([("at", "ascending"), ("raw", "ascending"), ("grade", "ascending")])
     grades, lists = got["grade"].to_numpy(), got["features"].combine_chunks()
     if not len(grades):
         return Model(np.zeros(1 << bits), np.zeros(0))
@@ -130,7 +135,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", select: int =
     grade), or none for select, the figures are null and every row is kept.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
-    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = boxed(docs)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +146,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", select: int =
             arrays = [batch.column("row"), *(pa.array(x, pa.float64()) for x in (([float(t.sum()) for t in tails], [float(t[select - 1]) for t in tails]) if known else ([None] * len(tails),) * 2))]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "expected_grade", "p_tail"])
 
-    out = boxed.mapInArrow(run, f"row {boxed.schema['row'].dataType.simpleString()}, expected_grade double, p_tail double")
+    out = rows.mapInArrow(run, fields(rows.schema["row"], "expected_grade double, p_tail double"))
     return out.withColumn("keep", F.coalesce(F.col("p_tail") >= cut, F.lit(True)))
 
 
