@@ -2,33 +2,34 @@
 
 First the SimHash operator's index (llm/simhash.py) links fingerprints of the same shingles, and its links are verified on the whole
 sets. A Hamming radius cannot promise all pairs: at five-word Jaccard 0.8 about 10 of 64 bits differ on average, and the byte
-index promises pairs of up to 7 differing bits only. So what is still apart is joined by prefixes:
-with all shingles in one order, two sets of similarity s share one of their first n - ceil(s * n) + 1. Of long
-texts fewer are needed, as their order is by hash: the least k of the union are all unshared with a probability of at most
-q ** k, where q bounds the unshared part, and `prefix` takes k for q ** k <= 1e-15, far less than the hashes' own collisions. Shingles
-that are common in a sample come last in the order, which keeps lists short; q allows for that. Candidates are verified on the whole sets.
-
-Groups are components of the verified pairs. Rounds compare the members of each list with one member of it, so that a
-dense group takes about one comparison a member; the members of a list that are then still in different components are compared pair by pair.
-Exact copies (the same words) enter once. Shingles are held as 64-bit hashes. A node of the link graph is (id, raw, uid) of the
-least document with its words, so a component's root says which document stands for it.
+index promises pairs of up to 7 differing bits only. So what is still apart is joined by prefixes. A text's sketch is the
+`_SKETCH` least hashes of its set (all of a smaller set). Sketches of two sets of similarity 0.8 share at least
+`_SHARED` hashes, but for a probability of about 2e-9 (of 64 draws, each shared with 0.8 or more); of small sets the bound is certain. With all hashes
+ordered by the number of sketches that hold them, counted over all texts, two such sketches share one of their first size - shared + 1. So a text is
+listed only under hashes that other texts hold, and only if these reach into its prefix: passages that many otherwise different
+texts share are last in order and give no candidates.
+
+Lists that still hold texts of different components chain their members into families. A family is compared in one place (a
+large one in pairs of blocks): the sets' hashes are indexed, a text outside of the family's largest component is tallied against
+all members by that index, and of the exact similarities that reach 0.8 a spanning forest leaves the task. So neither the
+pairs of a list nor those of a group of copies are ever written out. Groups are the components of all links. Exact copies (the
+same words) enter once. Shingles are held as 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import col, cut, fields, slices, utf8
-from lodeseek.llm.components import components
-from lodeseek.llm.simhash import fingerprint, linked_pairs, named, shingle_hashes
+from lodeseek.llm.components import called, components, dealt
+from lodeseek.llm.simhash import fingerprint, linked_pairs, shingle_hashes
 
 
 def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
@@ -36,45 +37,23 @@ def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes((text or b"").lower().split(), shingle))
 
 
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the shared order: those not in common by hash, then the common ones by rank."""
-    take = len(found) - (percent * len(found) + 99) // 100 + 1
-    if not len(common):
-        known = np.zeros(len(found), bool)
-        at = known.astype(np.int64)
-    else:
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        known = common[at] == found
-    # The unshared part of both sets is at most 100 / percent - 1 of either; all of it may be among the rare shingles.
-    q = (100 / percent - 1) * len(found) / max(1, len(found) - int(known.sum()))
-    if q < 0.9:
-        take = min(take, math.ceil(math.log(1e-15) / math.log(q))) if q > 0 else 1
-    return np.concatenate((found[~known], found[known][np.argsort(rank[at[known]])] if known.any() else found[:0]))[:take]
+_SKETCH, _SHARED = 64, 28
 
 
-def _longs(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
+def shared(n: int, percent: int) -> int:
+    """What the sketch of a set of n hashes shares at least with that of any similar set."""
+    if n > _SKETCH:
+        return _SHARED * percent // 80
+    # A larger similar set has at most n * 100 / percent hashes, of which its sketch may leave out what is over _SKETCH.
+    return max(1, -(-percent * n // 100) - max(0, n * 100 // percent - _SKETCH))
 
 
-def common_shingles(slim: DataFrame, shingle: int, sample: int = 10_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several rows of a sample share, sorted, and their ranks; used for the order alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [shingle_set(t, shingle) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate([np.empty(0, np.uint64), *found]))], names=["key"])
-
-    one_in = max(1, slim.count() // sample)
-    some = slim.filter(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "key long")
-    rows = some.groupBy("key").count().filter("count >= 3").orderBy(F.desc("count"), "key").limit(most).collect()
-    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], (len(keys) - np.arange(len(keys)))[order]
+def _longs(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
 def signatures(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(id, raw, uid, fp, n, keys) for (id, raw, text): the same uid for the same words, fingerprint, size of the set and its prefix."""
-    common, rank = common_shingles(rows, shingle)
+    """(id, raw, uid, fp, n, keys, first) for (id, raw, text): the same uid for the same words, fingerprint, size of the set, sketch and prefix length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -85,32 +64,30 @@ def signatures(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
                 if uid not in known:
                     hashes = shingle_hashes(words, shingle)
                     own = np.unique(hashes)
-                    keys = prefix(own, common, rank, percent).view(np.int64) if len(own) else []
-                    known[uid] = (uid, fingerprint(hashes), len(own), keys)
+                    keys = own[:_SKETCH].view(np.int64)
+                    known[uid] = (uid, fingerprint(hashes), len(own), len(keys) - shared(len(own), percent) + 1, keys)
                 found.append(known[uid])
-            uid, fp, n = (_longs(np.array([x[k] for x in found], np.uint64)) for k in range(3))
-            keys = pa.array([x[3] for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), uid, fp, n, keys], names=["id", "raw", "uid", "fp", "n", "keys"])
+            uid, fp = (_longs(np.array([x[k] for x in found], np.uint64)) for k in range(2))
+            n, first = (pa.array([x[k] for x in found], pa.int64()) for k in (2, 3))
+            keys = pa.array([x[4] for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), uid, fp, n, first, keys], names=["id", "raw", "uid", "fp", "n", "first", "keys"])
 
-    return rows.mapInArrow(run, fields(rows.schema["id"], "raw long, uid long, fp long, n long, keys array<long>"))
+    return rows.mapInArrow(run, fields(rows.schema["id"], "raw long, uid long, fp long, n long, first long, keys array<long>"))
 
 
 _FEW = 100_000
 
 
-def _sets(slim: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(uid, found binary): the words of the wanted uids, packed, a row each."""
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, found binary): the words of the wanted texts (id, raw, uid), packed, a row each."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            new = {}
-            for t in utf8(batch.column("text")):
-                words = b" ".join((t or b"").lower().split())
-                new.setdefault(xxhash.xxh64_intdigest(words, 7), words)
-            found = pa.array([zlib.compress(w, 1) for w in new.values()], pa.binary())
-            yield pa.RecordBatch.from_arrays([_longs(np.array(list(new), np.uint64)), found], names=["uid", "found"])
+            found = pa.array([zlib.compress(b" ".join((t or b"").lower().split()), 1) for t in utf8(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), found], names=["uid", "found"])
 
-    return slim.select("text").mapInArrow(packed, "uid long, found binary").join(_small(wanted), "uid", "left_semi").dropDuplicates(["uid"])
+    few = _small(wanted.select("id", "raw", "uid"))
+    return rows.join(few, ["id", "raw"]).select("uid", "text").mapInArrow(packed, "uid long, found binary").dropDuplicates(["uid"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -118,7 +95,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b: nodes) whose sets are similar enough."""
+    """The pairs (a, b: uids) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {}
@@ -140,81 +117,126 @@ def _verified(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     few = _small(cut(pairs.distinct()))
-    x = sets.select(F.col("uid").alias("u"), F.col("found").alias("x"))
-    y = sets.select(F.col("uid").alias("v"), F.col("found").alias("y"))
-    met = x.join(few, F.col("u") == F.col("a.uid")).join(y, F.col("v") == F.col("b.uid")).select("a", "b", "x", "y")
-    return met.mapInArrow(run, few.select("a", "b").schema)
+    x = sets.select(F.col("uid").alias("a"), F.col("found").alias("x"))
+    y = sets.select(F.col("uid").alias("b"), F.col("found").alias("y"))
+    return x.join(few, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _lists(texts: DataFrame) -> DataFrame:
+    """(key, uid): each text under the hashes of its prefix that other texts hold too."""
+    postings = texts.select(F.explode("keys").alias("key"), "uid", (F.size("keys") - F.col("first")).alias("spare")).repartition("key")
+    several = postings.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    held = postings.join(several, "key")
+    # Of a sketch's hashes the last `spare` in order are not in its prefix; hashes of its own alone come first.
+    order = Window.partitionBy("uid").orderBy(F.desc("df"), F.desc("key"))
+    return held.withColumn("at", F.row_number().over(order)).filter("at > spare").select("key", "uid")
+
+
+def spanning_links(uids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different roots, enough to join all that similar members join."""
+    many = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    owners = np.repeat(np.arange(len(sets), dtype=np.int32), many)[order]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(codes))))
+    starts = np.concatenate(([0], np.cumsum(many)))
+    of = np.unique(roots, return_inverse=True)[1]
+    sizes, found = np.bincount(of), []
+    waiting = np.ones(len(sets), bool)
+    # Who still waits at the end is in one component with all others that wait; who is near any of them has found it.
+    while len(out := np.flatnonzero(waiting & (of != sizes.argmax()))):
+        x = out[0]
+        waiting[x] = False
+        both = np.bincount(np.concatenate([owners[ends[c] : ends[c + 1]] for c in codes[starts[x] : starts[x + 1]]]), minlength=len(sets))
+        near = np.flatnonzero((100 * both >= percent * (many[x] + many - both)) & (of != of[x]))
+        for other, at in zip(*np.unique(of[near], return_index=True)):
+            found.append((uids[x], uids[near[at]]))
+            sizes[of[x]] += sizes[other]
+            sizes[other] = 0
+            of[of == other] = of[x]
+    return found
+
+
+def _family_links(families: DataFrame, shingle: int, percent: int, most: int) -> DataFrame:
+    """(a, b) of families (family, uid, root, n, found); a block of a family has about `most` hashes."""
+    lists = dealt(families, "family", "uid", F.col("n"), most).select("list", "uid", "root", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links() -> pa.RecordBatch:
+            known = {u: (r, shingle_set(zlib.decompress(x), shingle)) for u, r, x in held}  # pairs of a block with itself come twice
+            uids = np.array(list(known), np.int64)
+            got = spanning_links(uids, np.array([r for r, _ in known.values()], np.int64), [s for _, s in known.values()], percent) if len(known) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", "uid", "root", "found"))):
+                if key != now:
+                    if len(held) > 1:
+                        yield links()
+                    now, held = key, []
+                held.append(row)
+        yield links()
 
-def _ordered(p, q) -> tuple:
-    return F.least(p, q).alias("a"), F.greatest(p, q).alias("b")
+    return lists.mapInArrow(run, "a long, b long")
 
 
-def similar_links(slim: DataFrame, texts: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 4, bits: int = 4) -> DataFrame:
-    """(node, root) of the components of all pairs of texts with similarity of percent or more. texts: (uid, node, fp, n, keys), a row a uid.
+def similar_links(rows: DataFrame, texts: DataFrame, shingle: int = 5, percent: int = 80, most: int = 1 << 20, bits: int = 4) -> DataFrame:
+    """(node, root) of the components of all pairs of texts with similarity of percent or more. texts: (uid, id, raw, fp, n, first, keys), a row a uid.
 
-    rounds and bits change the work, not the components.
+    most and bits change the work, not the components.
     """
-    postings = texts.select(F.explode("keys").alias("key"), "node", "n").repartition("key")
-    several = postings.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p != q").select("key")
-    lists = cut(postings.join(several, "key", "left_semi").distinct())
-    sets = cut(_sets(slim, cut(lists.select(F.col("node.uid").alias("uid")).distinct())))
-    fits = lambda p, q: (F.lit(100) * F.least(p, q) >= F.lit(percent) * F.greatest(p, q))
+    lists = cut(_lists(texts))
+    sets = cut(_sets(rows, cut(texts.select("uid", "id", "raw").join(lists.select("uid").distinct(), "uid", "left_semi"))))
     # Links of SimHash: of fingerprints that are near each other, and of texts with one fingerprint.
-    centres = cut(texts.groupBy("fp").agg(F.min("node").alias("node")))
-    near = named(linked_pairs(centres.select("fp"), bits), centres)
-    same = texts.select("fp", "node").join(centres.withColumnRenamed("node", "centre"), "fp").filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    roots = components(cut(_verified(near.unionByName(same).select(*_ordered("a", "b")), sets, shingle, percent)))
-    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lists = rooted(lists)
-    for number in range(rounds + 1):
-        mixed = lists.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p != q").select("key")
-        lists = cut(lists.join(mixed, "key", "left_semi").select("key", "node", "n", "root"))
-        if lists.isEmpty():
-            return roots
-        if number < rounds:
-            # One centre a list, by an order that differs from round to round.
-            centre = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node.uid", F.lit(number)), "node", "n", "root")).alias("c"))
-            pairs = lists.join(centre, "key").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n")))
-            pairs = pairs.select(*_ordered("node", "c.node"))
-        else:
-            other = lists.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
-            pairs = lists.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("of")) & fits(F.col("n"), F.col("m")))
-            pairs = pairs.select(F.col("node").alias("a"), "b")
-        found = cut(_verified(pairs, sets, shingle, percent))
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        lists = rooted(lists.drop("root"))
-    return roots
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
-    """(id, raw, root) for each row of docs with an id: raw is xxhash64 of the text; root (id, raw, uid) of the least document of its group."""
+    named = cut(texts.groupBy("fp").agg(F.min("uid").alias("uid")))
+    near = linked_pairs(named.select("fp"), bits)
+    for side in ("a", "b"):
+        near = near.join(named.select(F.col("fp").alias(side), F.col("uid").alias(f"{side}_uid")), side)
+    same = texts.select("fp", F.col("uid").alias("b_uid")).join(named.withColumnRenamed("uid", "a_uid"), "fp").filter("a_uid != b_uid")
+    pairs = near.select("a_uid", "b_uid").unionByName(same.select("a_uid", "b_uid"))
+    pairs = pairs.select(F.least("a_uid", "b_uid").alias("a"), F.greatest("a_uid", "b_uid").alias("b"))
+    roots = components(_verified(pairs, sets, shingle, percent))
+    rooted = lists.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.min("uid").alias("first")).filter("p != q")
+    mixed = cut(rooted.join(several.select("key", "first"), "key"))
+    if mixed.isEmpty():
+        return roots
+    families = components(mixed.select(F.col("uid").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("uid"), F.col("root").alias("family"))
+    members = mixed.select("uid", "root").distinct().join(families, "uid").join(texts.select("uid", "n"), "uid").join(sets, "uid")
+    links = _family_links(members.select("family", "uid", "root", "n", "found"), shingle, percent, most)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, most: int = 1 << 20) -> DataFrame:
+    """(id, raw, least) for each row of docs with an id: raw is xxhash64 of the text; least (id, raw) of the least document of its group."""
     rows = docs.filter(col(id_col).isNotNull()).select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("raw"), col(text_col).alias("text"))
     found = cut(signatures(rows, shingle, percent))
-    least = F.min(F.struct("id", "raw", "uid")).alias("node")
-    texts = cut(found.groupBy("uid").agg(least, *(F.first(c).alias(c) for c in ("fp", "n", "keys"))))
-    roots = similar_links(rows, texts, shingle, percent, rounds)
-    of = cut(texts.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root")))
-    return found.select("id", "raw", "uid").join(of, "uid").select("id", "raw", "root")
+    texts = found.groupBy("uid").agg(F.min(F.struct("id", "raw")).alias("least"), *(F.first(c).alias(c) for c in ("fp", "n", "first", "keys")))
+    texts = cut(texts.select("uid", "least", "least.*", "fp", "n", "first", "keys"))
+    roots = similar_links(rows, texts, shingle, percent, most)
+    of = cut(called(texts.select("uid", "least"), "uid", roots, "least").drop("root"))
+    return found.select("id", "raw", "uid").join(of, "uid").select("id", "raw", "least")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, most: int = 1 << 20) -> DataFrame:
     """A row for each row of docs with an id: id_col, component_id (the least id of its group of near copies).
 
     Null and wordless texts are copies of each other and of nothing else. Rows that share an id but not a text are texts of their
     own; repeated rows come back as often as they come in. Other columns are not read. An empty table gives no rows.
     """
-    return groups(docs, id_col, text_col, shingle, percent, rounds).select("id", F.col("root.id").alias("component_id")).withColumnRenamed("id", id_col)
+    return groups(docs, id_col, text_col, shingle, percent, most).select("id", F.col("least.id").alias("component_id")).withColumnRenamed("id", id_col)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, most: int = 1 << 20) -> DataFrame:
     """docs without near copies: of each group the row with the least id stays, of the rows with that id the one of the least text hash.
 
     Rows without an id stay, all of them. Of rows that repeat an id and its text one stays, the one of the least hash of the
     other columns. Columns come back as they are, whatever their names. An empty table stays empty.
     """
-    found = groups(docs, id_col, text_col, shingle, percent, rounds)
-    first = found.filter((F.col("id") == F.col("root.id")) & (F.col("raw") == F.col("root.raw"))).select("id", "raw").distinct()
+    found = groups(docs, id_col, text_col, shingle, percent, most)
+    first = found.filter((F.col("id") == F.col("least.id")) & (F.col("raw") == F.col("least.raw"))).select("id", "raw").distinct()
     others = [col(c) for c in docs.columns if c != text_col]
     rows = docs.filter(col(id_col).isNotNull()).select(
         col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("raw"), F.struct(*map(col, docs.columns)).alias("row"), F.xxhash64(F.to_json(F.struct(*others))).alias("rest"))

@@ -73,18 +73,23 @@ def fit(grades: np.ndarray, flat: np.ndarray, starts: np.ndarray, bits: int, lea
     top, n, size = int(grades.max(initial=0)), len(grades), 1 << bits
     if n == 0 or len(np.unique(grades)) < 2:
         return Model(np.zeros(size), np.zeros(0))
-    rows = np.repeat(np.arange(n), np.diff(np.append(starts, len(flat))))
     often = np.bincount(flat, minlength=size) >= least
-    kept = often[flat]
-    names, flat = np.unique(flat[kept], return_inverse=True)
-    rows = rows[kept]
+    names = np.flatnonzero(often)
+    place = np.cumsum(often, dtype=np.int32) - 1
+    edges = np.append(starts, len(flat))
+    parts = []  # of some hundred rows each, so that what a round computes for every feature is never held whole
+    for at in range(0, n, 512):
+        to = min(n, at + 512)
+        some = flat[edges[at] : edges[to]]
+        own = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(edges[at : to + 1]))
+        parts.append((at, to, own[often[some]], place[some[often[some]]]))
     w, gaps = np.zeros(len(names)), np.zeros(top)  # thresholds: gaps[0], then steps of exp(gaps[k])
     gaps[0] = np.log(((grades == 0).sum() + 1) / ((grades > 0).sum() + 1))
     first, second = np.zeros(len(w) + top), np.zeros(len(w) + top)
     for k in range(1, rounds + 1):
         steps = np.exp(gaps[1:])
         t = gaps[0] + np.concatenate(([0.0], np.cumsum(steps)))
-        score = np.bincount(rows, w[flat], n)
+        score = np.concatenate([np.bincount(own, w[some], to - at) for at, to, own, some in parts])
         ends = np.concatenate(([-np.inf], t, [np.inf]))
         low, high = _sigmoid(ends[grades] - score), _sigmoid(ends[grades + 1] - score)
         d_low, d_high = low * (1 - low), high * (1 - high)
@@ -92,7 +97,8 @@ def fit(grades: np.ndarray, flat: np.ndarray, starts: np.ndarray, bits: int, lea
         d_score = (d_high - d_low) / p
         d_t = np.array([(d_low[grades == j + 1] / p[grades == j + 1]).sum() - (d_high[grades == j] / p[grades == j]).sum() for j in range(top)])
         d_gaps = np.concatenate(([d_t.sum()], [d_t[j:].sum() * steps[j - 1] for j in range(1, top)]))
-        gradient = np.concatenate((np.bincount(flat, d_score[rows], len(w)) / n + ridge * w, d_gaps / n))
+        d_w = sum(np.bincount(some, d_score[at:to][own], len(w)) for at, to, own, some in parts)
+        gradient = np.concatenate((d_w / n + ridge * w, d_gaps / n))
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         move = rate * (1 - (k - 1) / rounds) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
@@ -102,6 +108,9 @@ def fit(grades: np.ndarray, flat: np.ndarray, starts: np.ndarray, bits: int, lea
     return Model(weights, gaps[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps[1:])))))
 
 
+FEATURES = pa.schema([("at", pa.int64()), ("raw", pa.int64()), ("grade", pa.int32()), ("features", pa.list_(pa.int32()))])
+
+
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_rows: int = 12_000, bits: int = 18, **options) -> Model:
     """A model from docs and their ratings (id_col, grade_col from 0 on). Ratings with nulls or without a document are ignored.
 
@@ -118,14 +127,20 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
             found = [features(t, bits) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("at", "raw", "grade")), pa.array(found, pa.list_(pa.int32()))], names=["at", "raw", "grade", "features"])
 
-    got = texts.mapInArrow(run, "at long, raw long, grade int, features array<int>").orderBy("at", "raw", "grade").limit(max_rows).toArrow().combine_chunks()
-    got = got.sort_by([("at", "ascending"), ("raw", "ascending"), ("grade", "ascending")])
-    grades, lists = got["grade"].to_numpy(), got["features"].combine_chunks()
-    if not len(grades):
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), FEATURES).sort_by([(c, "ascending") for c in ("at", "raw", "grade")]).combine_chunks()
+        lists = got["features"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        starts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))[:-1]
+        model = fit(got["grade"].to_numpy(), lists.flatten().to_numpy(), starts, bits, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], names=["weights", "thresholds"])
+
+    # The sample is bounded, so it is fitted in one task; the model alone comes to the driver.
+    sampled = texts.mapInArrow(run, "at long, raw long, grade int, features array<int>").orderBy("at", "raw", "grade").limit(max_rows)
+    rows = sampled.repartition(1).mapInArrow(fitted, "weights binary, thresholds binary").collect()
+    if not rows:
         return Model(np.zeros(1 << bits), np.zeros(0))
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
-    return fit(grades, lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())[:-1])), bits, **options)
+    return Model(*(np.frombuffer(rows[0][c], np.float64) for c in ("weights", "thresholds")))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", select: int = 2, cut: float = 0.5) -> DataFrame:

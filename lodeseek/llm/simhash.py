@@ -22,11 +22,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import cut, fields, slices, slim, utf8
-from lodeseek.llm.components import components
+from lodeseek.llm.components import called, components, dealt
 
 _SMALL = 16
 
@@ -93,25 +93,12 @@ def linked_pairs(fps: DataFrame, bits: int = 4, max_list: int = 1 << 16, t: int
     """(a, b): links between distinct fingerprints (column fp) whose components are those of all links."""
     n = fps.count()
     t = t or index_bytes(n, bits)
-    index = postings(fps, t, bits)
-    hot = index.groupBy("key").count().filter(F.col("count") > max_list)
-    hot = cut(hot.select("key", F.ceil(F.col("count") / max_list).cast("int").alias("blocks")))
-    blocks = hot.count()
-    if blocks:
-        # At most n * C(bits + t, t) / max_list keys are hot; they are broadcast only while that table is small.
-        index = index.join(F.broadcast(hot) if blocks <= 100_000 else hot, "key", "left")
-        own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        index = index.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        index = index.select("fp", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        lists = index.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        lists = lists.select("fp", F.xxhash64("key", "i", "j").alias("key"))
-    else:
-        lists = index.repartition("key").sortWithinPartitions("key")
+    lists = dealt(postings(fps, t, bits), "key", "fp", F.lit(1), max_list)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_key, rest_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
         for batch in batches:
-            key = np.concatenate((rest_key, batch.column("key").to_numpy(zero_copy_only=False)))
+            key = np.concatenate((rest_key, batch.column("list").to_numpy(zero_copy_only=False)))
             fp = np.concatenate((rest_fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
             if not len(key):
                 continue
@@ -210,11 +197,6 @@ def spanning_links(fp: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarr
     return found
 
 
-def node(id_: Column, name: Column) -> Column:
-    """A node of the link graph: the least node of a component holds the component's least id, null only if all ids are."""
-    return F.struct(id_.isNull().alias("none"), id_.alias("id"), name.alias("name"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, max_list: int = 1 << 16) -> DataFrame:
     """A row for each row of docs: id_col, fp long, component_id (the least id reachable over links, its own included).
 
@@ -223,14 +205,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows and ids come back as often as they come in. An empty table gives no rows. Other columns are not read.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("id")).select("fp", node(F.col("id"), F.col("fp")).alias("node")))
-    roots = components(named(linked_pairs(distinct.select("fp"), bits, max_list), distinct))
-    of = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node")["id"].alias("component_id"))
-    return fps.join(of, "fp").select("id", "fp", "component_id").withColumnRenamed("id", id_col)
-
-
-def named(links: DataFrame, names: DataFrame) -> DataFrame:
-    """Links (a, b) of fingerprints as links of their nodes; names: (fp, node)."""
-    for side in ("a", "b"):
-        links = links.join(names.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node")), side)
-    return links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("component_id")))
+    of = cut(called(distinct, "fp", components(linked_pairs(distinct.select("fp"), bits, max_list)), "component_id"))
+    return fps.join(of.drop("root"), "fp").select("id", "fp", "component_id").withColumnRenamed("id", id_col)

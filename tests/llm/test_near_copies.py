@@ -41,13 +41,13 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_near_copies(spark, rounds):
+@pytest.mark.parametrize("most", [1 << 20, 4000])
+def test_near_copies(spark, most):
     from lodeseek.llm.nearcopies import near_copies
 
     rows = corpus()
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_copies(frame, rounds=rounds).collect()
+    got = near_copies(frame, most=most).collect()
     assert sorted(r["doc_id"] for r in got) == [i for i, _ in rows]
     assert sorted({r["component_id"] for r in got}) == brute_kept(rows)
 
@@ -58,3 +58,17 @@ def test_stage_keeps_one_of_each_group(spark):
     rows = corpus()
     frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], TEXT)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == brute_kept(rows)
+
+
+def test_stage_keeps_texts_that_share_an_id(spark):
+    """Rows of one id with different texts stay; repeated rows become one; rows without an id and odd columns pass."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e f g h"), (1, "i j k l m n o p"), (1, "a b c d e f g h"), (2, "i j k l m n o p"), (None, "i j k l m n o p"), (3, None), (4, " ")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], TEXT)
+    frame = frame.withColumn("a.b", F.lit(1)).withColumn("my `col`", F.lit("x")).withColumn("raw", F.lit(2)).withColumn("uid", F.create_map(F.lit("k"), F.lit(1)))
+    got = corpus_pipeline.near_dedup(spark, frame, "")
+    assert got.columns == frame.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == [("1", "a b c d e f g h"), ("1", "i j k l m n o p"), ("3", "None"), ("None", "i j k l m n o p")]
+    assert corpus_pipeline.near_dedup(spark, frame.limit(0), "").count() == 0
