@@ -67,9 +67,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from reliable storage: its lineage ends in the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table written in the shared folder: its lineage ends there, so a lost executor costs no recomputation.
+
+    A checkpoint would end it too, but keeps the optimizer's guess of df's size, which every join multiplies: in a loop the guess grows
+    to millions of digits. A table has its true size.
+    """
+    path = new_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
