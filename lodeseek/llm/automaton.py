@@ -79,13 +79,15 @@ def _folded(chars: frozenset[int], fold: bool) -> frozenset[int]:
     return chars | frozenset(ord(chr(c).swapcase()) for c in chars if chr(c).isascii() and chr(c).isalpha()) if fold else chars
 
 
-def reverse(node: Node) -> Node:
+def width(node: Node) -> int:
+    """The length of what node matches; an error unless all its matches have one length."""
     if node[0] == "set":
-        return node
-    if node[0] in ("star", "opt"):
-        return (node[0], reverse(node[1]))
-    inner = [reverse(x) for x in node[1]]
-    return (node[0], inner[::-1] if node[0] == "cat" else inner)
+        return 1
+    if node[0] == "cat":
+        return sum(map(width, node[1]))
+    if node[0] == "alt" and len(found := set(map(width, node[1]))) == 1:
+        return found.pop()
+    raise ValueError("a trigger needs a fixed length")
 
 
 class _Nfa:

@@ -1,8 +1,10 @@
-"""Secret scans: all rules in one deterministic automaton, one pass over the bytes of a text.
+"""Secret scans: all rules in one pass over the bytes of a text.
 
-The rules' triggers are joined by subset construction and minimised into transition arrays; where the pass reaches a
-state that accepts a rule, the reversed automaton of its trigger gives the leftmost start after the rule's last match,
-and the rule's own automaton from there the longest end. Matches of a rule are leftmost and do not overlap; those under a rule's least length are
+What the rules begin with is joined by subset construction and minimised into one deterministic automaton of transition
+arrays, whose accepting states say which rule begins here and how long ago. A rule that has begun steps through
+its own minimal automaton alongside, byte by byte in the same pass, until it can go on no more; its last accepting position is
+the match's end. No byte is read twice. (One automaton of the rules' whole length would need a state for each set of
+rules that can be under way at once.) Matches of a rule are leftmost and longest and do not overlap; those that fail a rule's `enough` are
 dropped, but what they covered stays used.
 """
 
@@ -13,31 +15,26 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lodeseek.llm.automaton import compile_rules, parse, reverse
-from lodeseek.llm.common import slices, utf8
+from lodeseek.llm.automaton import compile_rules, parse, width
+from lodeseek.llm.common import fields, slices, slim, utf8
 
 
 @dataclass(frozen=True)
 class Rule:
-    """trigger + middle + body; a match counts when body, after the longest trigger + middle, has at least `least` bytes.
-
-    The pass looks for the triggers. A trigger must tell where its match starts, and be short: what can go on for long
-    belongs to body, or the states of rules that go on at once would multiply.
-    """
+    """A match is one of the triggers, each of fixed length, and the longest `rest`; it counts if the rest is also an `enough`, where given."""
 
     kind: str
-    trigger: str
-    body: str
-    least: int = 0
-    middle: str = ""
+    triggers: tuple[str, ...]
+    rest: str
+    enough: str | None = None
 
 
+_GAP, _VALUE = "[\"']?\\x20*[:=]\\x20*[\"']?", "[A-Za-z0-9+/_.=-]"
 BASE = (
-    Rule("assign", "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]", "[A-Za-z0-9+/_.=-]+", 8, "\\x20*[\"']?"),
-    Rule("access", "AKIA", "[A-Z0-9]+", 12),
-    Rule("hex", "[0-9a-f]{32}", "[0-9a-f]*"),  # a shorter run holds no start of another match
+    Rule("assign", ("(?i:password)", "(?i:passwd)", "(?i:secret)", "(?i:token)", "(?i:api_key)", "(?i:apikey)"), f"{_GAP}{_VALUE}+", f"{_GAP}{_VALUE}{{8,}}"),
+    Rule("access", ("AKIA",), "[A-Z0-9]+", "[A-Z0-9]{12,}"),
+    Rule("hex", ("[0-9a-f]{32}",), "[0-9a-f]*"),  # a shorter run holds no start of another match
 )
 #: A key runs to its END line, wrapped, escaped or on one line. Without one, it runs over fields such as DEK-Info and
 #: over pieces of 16 or more base64 characters, and the shorter piece that may follow them.
@@ -46,13 +43,13 @@ _PEM_CLOSED = f"([^-]|-{{1,4}}[^-])*-----END {_PEM_END}"
 _PEM_GAP = "(\\s|\\\\n|\\\\r)+"
 _PEM_OPEN = f"({_PEM_GAP}[A-Z][A-Za-z-]*:[^\\n]*)*({_PEM_GAP}[A-Za-z0-9+/=]{{16,}})+({_PEM_GAP}[A-Za-z0-9+/=]+)?"
 MORE = (
-    Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", 36),
-    Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", 10),
-    Rule("google", "AIza", "[A-Za-z0-9_-]+", 35),
-    Rule("stripe", "[rs]k_(live|test)_", "[A-Za-z0-9]+", 16),
-    Rule("private_key", "-----BEGIN ", f"{_PEM_END}({_PEM_CLOSED}|{_PEM_OPEN})?"),
-    Rule("jwt", "eyJ", "[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 24),
-    Rule("url_login", "[a-z]://", "[A-Za-z0-9._-]+:[A-Za-z0-9._~!$&*+=-]+@", 4),
+    Rule("github", ("gh[pousr]_",), "[A-Za-z0-9]+", "[A-Za-z0-9]{36,}"),
+    Rule("slack", ("xox[abprs]-",), "[A-Za-z0-9-]+", "[A-Za-z0-9-]{10,}"),
+    Rule("google", ("AIza",), "[A-Za-z0-9_-]+", "[A-Za-z0-9_-]{35,}"),
+    Rule("stripe", ("[rs]k_live_", "[rs]k_test_"), "[A-Za-z0-9]+", "[A-Za-z0-9]{16,}"),
+    Rule("private_key", ("-----BEGIN ",), f"{_PEM_END}({_PEM_CLOSED}|{_PEM_OPEN})?"),
+    Rule("jwt", ("eyJ",), "[A-Za-z0-9_-]{6,}\\.eyJ[A-Za-z0-9_-]{6,}\\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_login", ("[a-z]://",), "[A-Za-z0-9._-]+:[A-Za-z0-9._~!$&*+=-]+@"),
 )
 
 
@@ -60,58 +57,73 @@ _COMPILED: dict[tuple, tuple] = {}  # a function under functools.cache would not
 
 
 def compiled(rules: tuple[Rule, ...]) -> tuple:
-    """The combined automaton, and each rule's three small ones; compiled on the driver and sent to the tasks."""
-    if rules in _COMPILED:
-        return _COMPILED[rules]
-    trees = [parse(r.trigger) for r in rules]
-    table, accepts = compile_rules(trees, search=True)
-    own = [tuple(compile_rules([x], False) for x in (reverse(t), parse(r.trigger + r.middle + r.body), parse(r.trigger + r.middle))) for t, r in zip(trees, rules)]
-    return _COMPILED.setdefault(rules, (table, accepts, own))
+    """The combined automaton of the triggers, the (rule, length) of each trigger, and the automaton of each rule's rest."""
+    if rules not in _COMPILED:
+        begun = [(number, parse(t)) for number, r in enumerate(rules) for t in r.triggers]
+        table = compile_rules([tree for _, tree in begun], search=True)
+        rests = [compile_rules([parse(r.rest), parse(r.enough or r.rest)], search=False) for r in rules]
+        _COMPILED[rules] = (table, [(number, width(tree)) for number, tree in begun], rests)
+    return _COMPILED[rules]
 
 
-def scanner(machine: tuple) -> tuple:
-    """The combined automaton as rows of rows (entry 256: the rules accepted), and the small ones."""
-    table, accepts, own = machine
+def _rows(table: list[list[int]], marks: list) -> list[list]:
+    """Transition arrays as rows of rows (None: no way on); entry 256 is the state's mark."""
     rows: list[list] = [[] for _ in table]
-    for row, states, found in zip(rows, table, accepts):
-        row += [rows[t] for t in states] + [found]
-    return rows, own
+    for row, states, mark in zip(rows, table, marks):
+        row += [rows[t] if t >= 0 else None for t in states] + [mark]
+    return rows
 
 
-def _longest(automaton: tuple, data: bytes, at: int, end: int, step: int) -> int:
-    """The furthest position that a match from at reaches, -1 for none."""
-    table, accepts = automaton
-    state, best = 0, at if accepts[0] else -1
-    while at != end:
-        state = table[state][data[at] if step > 0 else data[at - 1]]
-        if state < 0:
-            break
-        at += step
-        if accepts[state]:
-            best = at
-    return best
+def scanner(machine: tuple) -> tuple:
+    (table, accepts), begun, rests = machine
+    first = _rows(table, [tuple(begun[t] for t in found) for found in accepts])[0]
+    return first, [_rows(states, [(0 in found) + (1 in found) for found in ends])[0] for states, ends in rests]
 
 
 def scan(data: bytes, rules: tuple[Rule, ...] = BASE + MORE, using: tuple | None = None) -> list[tuple[int, int, int]]:
     """(start, end, rule number) in bytes, sorted. using: the rules' scanner, if it is there already."""
-    rows, own = using or scanner(compiled(rules))
-    found, last, state = [], [0] * len(rules), rows[0]
+    state, rests = using or scanner(compiled(rules))
+    found: list[tuple[int, int, int]] = []
+    used = [0] * len(rules)
+    tries: dict[int, list[list]] = {}  # rule -> [row or None, start, end or -1, enough], by start
+
+    def settled(rule: int) -> None:
+        """Decides the rule's tries up to the first that is still under way; the earlier one wins."""
+        now = tries[rule]
+        while now and now[0][0] is None:
+            _, start, end, enough = now.pop(0)
+            if end >= 0:
+                used[rule] = end
+                now[:] = [t for t in now if t[1] >= end]
+                if enough:
+                    found.append((start, end, rule))
+        if not now:
+            del tries[rule]
+
     for at, byte in enumerate(data, 1):
         state = state[byte]
+        if tries:
+            for rule, now in list(tries.items()):
+                over = False
+                for t in now:
+                    if (row := t[0]) is not None:
+                        row = t[0] = row[byte]
+                        if row is None:
+                            over = True
+                        elif row[256]:
+                            t[2], t[3] = at, row[256] == 2
+                if over:
+                    settled(rule)
         if state[256]:
-            for rule in state[256]:
-                if at <= last[rule]:
-                    continue
-                backward, forward, head = own[rule]
-                start = _longest(backward, data, at, last[rule], -1)
-                if start < 0:
-                    continue
-                end = _longest(forward, data, start, len(data), 1)
-                if end < 0:
-                    continue
-                last[rule] = end
-                if end - _longest(head, data, start, end, 1) >= rules[rule].least:
-                    found.append((start, end, rule))
+            for rule, length in state[256]:
+                row, now = rests[rule], tries.get(rule, ())
+                # An earlier try that is at the same place covers whatever this one would match.
+                if at - length >= used[rule] and not any(t[0] is row for t in now):
+                    tries.setdefault(rule, []).append([row, at - length, at if row[256] else -1, row[256] == 2])
+    for rule in list(tries):
+        for t in tries[rule]:
+            t[0] = None
+        settled(rule)
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
@@ -131,8 +143,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no spans. Null and repeated ids come back as they are. Other columns are not read.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind, machine = slim.schema["id"].dataType.simpleString(), compiled(rules)
+    rows, machine = slim(docs, id_col, text_col), compiled(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using = scanner(machine)
@@ -142,7 +153,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = [[{"kind": rules[r].kind, "start": s, "end": e} for s, e, r in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, span)], names=["id", "spans"])
 
-    found = slim.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    found = rows.mapInArrow(run, fields(rows.schema["id"], "spans array<struct<kind:string,start:long,end:long>>"))
     return found.withColumnRenamed("id", id_col)
 
 
