@@ -6,8 +6,11 @@ one frame. An index table maps record ids to bundle, frame and offset in the fra
 
 Tasks write bundles under names of their own and return the index rows; the index is committed by Spark's writer with the
 rows of successful attempts only, so a file that a lost attempt left is never referred to. Payloads are digested where they
-are read, the response of equal payloads is found by an aggregation over (digest, id) alone, and pages then meet their
-digest's response in one equi-join, which the skew join can split.
+are read, and the response of equal payloads is found by an aggregation over (digest, id) alone. Only digests that repeat are
+joined back to the pages: broadcast while they are few, so that no page is shuffled, and else in a join that a skewed digest splits.
+
+The root is opened by the JVM's readers for the index and by pyarrow's filesystems for bundles; it must be a URI that both
+know on driver and executors (file:// on a shared mount, hdfs://, s3://). A root without a scheme is a shared local path.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import new_path, slices, utf8
+from lodeseek.llm.common import col, cut, fields, new_path, slices, utf8
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _DATE = "2024-01-01T00:00:00Z"
@@ -109,20 +112,20 @@ def records(data: bytes, at: int = 0) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_bundles(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, bundle_bytes: int = 256 << 20, frame_bytes: int = 1 << 20, level: int = 3) -> DataFrame:
-    """Writes a record for each row of pages under root, and gives the index: id, bundle, frame, offset.
+    """Writes a record for each row of pages under root, and gives the index: id, bundle, frame, offset, bytes (of the record).
 
     A null html is an empty payload, a null url `urn:unknown`. Of rows with equal payloads of at least `least` bytes those with
     the largest id are responses (rows that repeat it all are), the others revisit it; rows with a null id are responses.
     """
     spark = pages.sparkSession
-    html = F.coalesce(F.col(html_col), F.lit("")).alias("html")
-    slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html)
+    html = F.coalesce(col(html_col), F.lit("")).alias("html")
+    slim = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), html)
     digest = F.unhex(F.sha1(F.encode("html", "UTF-8")))
     named = slim.withColumn("digest", digest)
-    first = named.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.max("id").alias("first"))
-    ruled = named.join(first, "digest", "left")
+    several = named.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n"))
+    first = cut(several.filter("n > 1").select("digest", "first"))
+    ruled = named.join(F.broadcast(first) if first.count() <= 100_000 else first, "digest", "left")
     refers = F.when((F.octet_length("html") >= least) & (F.col("id") != F.col("first")), F.col("first").cast("string"))
-    kind = slim.schema["id"].dataType.simpleString()
     rows = ruled.select("id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), F.octet_length("html").cast("long").alias("size"), "digest", refers.alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,45 +139,56 @@ def write_bundles(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
                     name, written = f"{uuid.uuid4().hex}.warc.zst", 0
                     writer = BundleWriter(store.open_output_stream(f"{base}/{name}", compression=None), frame_bytes, level)
                 data = record(str(own), url, payload, size, base32(sha), refers_to)
-                places.append((name, *writer.add(data)))
+                places.append((name, *writer.add(data), len(data)))
                 written += len(data)
                 if written >= bundle_bytes:
                     writer.close()
                     writer = None
-            arrays = [batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*places), (pa.string(), pa.int32(), pa.int64())))] if places else None
+            arrays = [batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*places), (pa.string(), pa.int32(), pa.int64(), pa.int64())))] if places else None
             if arrays:
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "bundle", "frame", "offset"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "bundle", "frame", "offset", "bytes"])
         if writer is not None:
             writer.close()
 
     store, base = pyarrow.fs.FileSystem.from_uri(root)
     store.create_dir(base, recursive=True)
     index = f"{root}/index"
-    rows.mapInArrow(run, f"id {kind}, bundle string, frame int, offset long").write.parquet(index)
+    rows.mapInArrow(run, fields(rows.schema["id"], "bundle string, frame int, offset long, bytes long")).write.parquet(index)
     return spark.read.parquet(index)
 
 
-def read_bundles(index: DataFrame, root: str, id_type: str = "long") -> DataFrame:
-    """A row for each record in the indexed bundles: id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
-    bundles = index.select("bundle", "frame").distinct()
+def read_bundles(index: DataFrame, root: str, id_type: str = "long", task_bytes: int = 8 << 20) -> DataFrame:
+    """A row for each record in the indexed bundles: id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+
+    Frames are dealt out in runs of neighbours, to so many tasks that one has about task_bytes of records; a task opens a bundle and reads its seek table once.
+    """
+    size = index.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    bundles = index.select("bundle", "frame").distinct().repartition(max(1, -(-size // task_bytes)), "bundle", F.floor(F.col("frame") / 4)).sortWithinPartitions("bundle", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pyarrow.fs.FileSystem.from_uri(root)
+        now, source, table = None, None, []
         for batch in batches:
             for name, frame in zip(batch.column("bundle").to_pylist(), batch.column("frame").to_pylist()):
+                if name != now:
+                    if source is not None:
+                        source.close()
+                    now, source = name, store.open_input_file(f"{base}/{name}")
+                    table = seek_table(source)
                 rows = []
-                with store.open_input_file(f"{base}/{name}") as source:
-                    for headers, block in records(read_frame(source, seek_table(source)[frame])):
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        said = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if response := headers["WARC-Type"] == "response":
-                            if base32(hashlib.sha1(payload).digest()) != said:
-                                raise ValueError(f"damaged record {headers['WARC-Record-ID']} in {name}")
-                        size = int(http.rpartition(b"Content-Length: ")[2])
-                        page = headers["WARC-Record-ID"][10:-1]
-                        rows.append((None if page == "None" else page, size, said, headers["WARC-Type"], None if response else headers["WARC-Refers-To"][10:-1], payload.decode() if response else None))
+                for headers, block in records(read_frame(source, table[frame])):
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    said = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if response := headers["WARC-Type"] == "response":
+                        if base32(hashlib.sha1(payload).digest()) != said:
+                            raise ValueError(f"damaged record {headers['WARC-Record-ID']} in {name}")
+                    size = int(http.rpartition(b"Content-Length: ")[2])
+                    page = headers["WARC-Record-ID"][10:-1]
+                    rows.append((None if page == "None" else page, size, said, headers["WARC-Type"], None if response else headers["WARC-Refers-To"][10:-1], payload.decode() if response else None))
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.large_string()))]
                 yield pa.RecordBatch.from_arrays([*arrays[:5], arrays[5].cast(pa.string())], names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+        if source is not None:
+            source.close()
 
     found = bundles.mapInArrow(run, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload string")
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("id", "refers_to")})
