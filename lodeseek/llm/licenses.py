@@ -3,7 +3,7 @@
 A text is cut into sentences; a sentence is normalised (A-Z lower-cased, all but letters and digits blanked, the
 "this work is licensed under the terms of the" of a grant shortened to "under") and looked up among known licence
 sentences. The identifiers found form a sequence, against which ordered rules are matched: each rule names a licence
-and the run of identifiers that shows it, and takes its runs out of the sequence before the next rule looks. A
+and the run of identifiers that shows it, and takes its runs out of the sequence before the next rule looks; what stood on either side of a taken run does not become adjacent. A
 sentence may be wrapped over lines or share its line's neighbours' full stops, so one that is not known whole is tried line by line.
 
 Everything is a projection of one row: no shuffle, no join, and texts without a licence word are not cut at all.
@@ -66,7 +66,6 @@ SENTENCES = {f"under {name}": f"{license}~" for license, names in _LICENSES.item
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "this work is in the public domain": "public-domain",
-    "all rights reserved copyright": "rights",
 }
 #: (licence, run of identifiers), the more telling first.
 RULES = (
@@ -114,13 +113,13 @@ def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
 
 def licences(ids: Column, rules: tuple = RULES) -> Column:
     """The licences that ordered rules find in an identifier sequence, each once, in the rules' order."""
-    ordered = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("," + "".join(f"{i}," for i in run)).alias("run")) for name, run in rules))
-    start = F.struct(F.concat(F.lit(","), F.array_join(F.transform(ids, lambda i: F.concat(i, F.lit(","))), "")).alias("rest"), F.array().cast("array<string>").alias("found"))
+    ordered = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f",{i}," for i in run)).alias("run")) for name, run in rules))
+    start = F.struct(F.array_join(F.transform(ids, lambda i: F.concat(F.lit(","), i, F.lit(","))), "").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def look(state: Column, rule: Column) -> Column:
         hit = F.contains(state["rest"], rule["run"])
         return F.struct(
-            F.when(hit, F.replace(state["rest"], rule["run"], F.lit(","))).otherwise(state["rest"]).alias("rest"),
+            F.when(hit, F.replace(state["rest"], rule["run"], F.lit("|"))).otherwise(state["rest"]).alias("rest"),
             F.when(hit, F.array_union(state["found"], F.array(rule["name"]))).otherwise(state["found"]).alias("found"),
         )
 

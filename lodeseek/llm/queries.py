@@ -106,11 +106,11 @@ def _license_sql() -> str:
             JOIN known ON known.s = n
         ), ids AS (
             SELECT r, string_agg(i, ',' ORDER BY j, k) AS ids FROM (SELECT r, j, 0 AS k, whole AS i FROM h WHERE whole IS NOT NULL UNION ALL SELECT r, j, k, i FROM l) GROUP BY r
-        ), r0 AS (SELECT doc_id, coalesce(ids, '') AS sentence_ids, CASE WHEN ids IS NULL THEN ',' ELSE ',' || ids || ',' END AS rest, CAST([] AS VARCHAR[]) AS found FROM d LEFT JOIN ids USING (r))"""
+        ), r0 AS (SELECT doc_id, coalesce(ids, '') AS sentence_ids, CASE WHEN ids IS NULL THEN '' ELSE ',' || replace(ids, ',', ',,') || ',' END AS rest, CAST([] AS VARCHAR[]) AS found FROM d LEFT JOIN ids USING (r))"""
     for n, (name, run) in enumerate(RULES):
-        want = "," + "".join(f"{i}," for i in run)
+        want = "".join(f",{i}," for i in run)
         sql += f""",
-        r{n + 1} AS (SELECT doc_id, sentence_ids, replace(rest, '{want}', ',') AS rest, CASE WHEN contains(rest, '{want}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM r{n})"""
+        r{n + 1} AS (SELECT doc_id, sentence_ids, replace(rest, '{want}', '|') AS rest, CASE WHEN contains(rest, '{want}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM r{n})"""
     return sql + f"\n        SELECT doc_id, sentence_ids, array_to_string(found, ',') AS licenses FROM r{len(RULES)}"
 
 
