@@ -255,6 +255,26 @@ def test_secret_scan_equals_regex():
         assert [x for x in code_points(t.encode(), scan(t.encode())) if x[2] < 3] == brute_base(t)
 
 
+MORE_RULES = (  # kind, what matches, what of it counts
+    ("github", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]{36,}"), ("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    ("google", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]{35,}"), ("stripe", "[rs]k_(?:live|test)_[A-Za-z0-9]+", "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{6,}\.eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{8,}", None), ("url_login", "[a-z]://[A-Za-z0-9._-]+:[A-Za-z0-9._~!$&*+=-]+@", None),
+)
+
+
+def test_more_rules_equal_regex():
+    from lodeseek.llm.secrets import BASE, MORE, scan
+
+    kinds = [r.kind for r in BASE + MORE]
+    rng = random.Random(2)
+    parts = ["ghp_", "gho_", "A1b2C3d4" * 5, "xoxb-", "AIza", "sk_live_", "rk_test_", "eyJ", "hbGciOi", ".", ":", "@", "://", "http", "bob", "-", "_", " ", "0a1b2c3d" * 4, "token=", "AKIA", "\n", "é"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 24))).encode()
+        want = [(m.start(), m.end(), k) for k, form, counts in MORE_RULES for m in re.finditer(form.encode(), t) if counts is None or re.fullmatch(counts.encode(), m[0])]
+        got = [(s, e, kinds[r]) for s, e, r in scan(t) if kinds[r] in [k for k, *_ in MORE_RULES]]
+        assert sorted(got) == sorted(want), t
+
+
 def test_more_secrets(spark):
     from lodeseek.llm.secrets import redacted, secret_spans
 
@@ -310,6 +330,76 @@ def test_url_tree_carries_labels(spark):
     assert len(got) == len(rows)
 
 
+def test_tree_goes_on_below_wildcards(spark):
+    """Variable user names above /spam/ and /good/: the branches below the wildcard are told apart."""
+    from lodeseek.llm.urlfilter import url_verdicts
+
+    names = [a + b for a in "abcdefghijklm" for b in "nopqrstuvwxyz"]
+    rows = [(i, f"http://h.test/{u}/{kind}/i{i}") for i, (u, kind) in enumerate((u, k) for _ in range(2) for u in names for k in ("spam", "good"))]
+    rules = tuple(("block", "h.test", f"/{u}/spam") for u in names[:8]) + tuple(("allow", "h.test", f"/{u}/good") for u in names[:8])
+    got = url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).filter("rule IS NULL").collect()
+    verdicts = defaultdict(set)
+    for r in got:
+        verdicts[r["path"].split("/")[2]].add(r["verdict"])
+    assert verdicts == {"spam": {"block"}, "good": {"allow"}} and len(got) == 2 * 161 * 2
+
+
+def brute_templates(rows, share, least, z, prior, purity):
+    """rows: (host, segments, n, labelled, blocked) -> rejected (host, segments), by plain recursion over branches."""
+    bad = set()
+
+    def grow(host, members, depth):
+        ended = [m for m in members if len(m[1]) == depth]
+        if depth and sum(m[4] for m in ended) / (sum(m[3] for m in ended) + prior) >= purity:
+            bad.update((host, m[1]) for m in ended)
+        below, total = defaultdict(list), 0
+        for m in members:
+            if len(m[1]) > depth:
+                below[m[1][depth]].append(m)
+                total += m[2]
+        branches, rated = defaultdict(list), []
+        for seg, own in below.items():
+            n, labelled, blocked = (sum(m[k] for m in own) for k in (2, 3, 4))
+            if n < least or n < share * total:
+                branches["*"] += own
+            elif labelled < least:
+                branches[seg] += own
+            else:
+                rated.append((blocked / labelled, seg, labelled, blocked, own))
+        groups = []
+        for rate, seg, labelled, blocked, own in sorted(rated, key=lambda x: x[:2]):
+            if groups:
+                a, b, _ = groups[-1]
+                pooled = (b + blocked) / (a + labelled)
+                if abs(rate - b / a) <= z * math.sqrt(pooled * (1 - pooled) * (1 / a + 1 / labelled)):
+                    groups[-1] = (a + labelled, b + blocked, groups[-1][2] + own)
+                    continue
+            groups.append((labelled, blocked, own))
+        for members in [*branches.values(), *(g[2] for g in groups)]:
+            grow(host, members, depth + 1)
+
+    for host in {r[0] for r in rows}:
+        grow(host, [r for r in rows if r[0] == host], 0)
+    return bad
+
+
+def test_rejected_templates(spark):
+    from lodeseek.llm.urlfilter import rejected_paths
+
+    rng = random.Random(3)
+    rows = {}
+    for _ in range(700):
+        segs = tuple(rng.choice(["a", "b", "c", f"u{rng.randrange(300)}"]) for _ in range(rng.choice([0, 1, 2, 2, 3, 4])))
+        labelled = rng.randrange(8)
+        rate = 0.95 if "a" in segs[:2] else 0.1
+        rows[(rng.choice("hg"), segs)] = (labelled + rng.randrange(3) + 1, labelled, sum(rng.random() < rate for _ in range(labelled)))
+    rows = [(h, s, *x) for (h, s), x in rows.items()]
+    frame = spark.createDataFrame([(h, list(s), *x) for h, s, *x in rows], "host string, segs array<string>, n long, labelled long, blocked long")
+    for options in ((0.01, 5, 1.96, 2.0, 0.8), (0.05, 3, 1.0, 2.0, 0.6)):
+        got = {(r["host"], tuple(r["segs"])) for r in rejected_paths(frame, *options).collect()}
+        assert got == brute_templates(rows, *options) and got
+
+
 # MaxScore
 
 
@@ -443,6 +533,15 @@ def test_licenses(spark):
     assert license_scan(docs(spark, [])).count() == 0
 
 
+def test_a_taken_run_parts_its_neighbours(spark):
+    from lodeseek.llm.licenses import licences
+
+    rows = [(["bsd-grant", "bsd-source", "isc-grant", "bsd-binary"], ["ISC"]), (["MIT~", "MIT~"], ["MIT"]), (["bsd-grant", "bsd-source", "bsd-binary", "isc-grant"], ["ISC", "BSD-2-Clause"]), ([], [])]
+    frame = spark.createDataFrame([(n, ids) for n, (ids, _) in enumerate(rows)], "n int, ids array<string>")
+    got = {r["n"]: list(r["found"]) for r in frame.select("n", licences(F.col("ids")).alias("found")).collect()}
+    assert got == {n: want for n, (_, want) in enumerate(rows)}
+
+
 # Pipeline
 
 
