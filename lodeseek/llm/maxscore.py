@@ -1,12 +1,14 @@
 """Exact top-k by integer inner product, with MaxScore over dimensions as query terms.
 
-Candidates are packed where they are read into shards of at most `shard_rows` vectors, without a shuffle. Query rows
-are packed into blocks of about `block_rows`; a shard meets every block of the stated query set through an equi-join on
-the block number (each block given out in several copies while blocks are fewer than tasks), so the largest object in a task is a shard and a block, at any input size. For a query and a shard
+The table is read where it lies, in shards of at most `shard_rows` vectors, and is never shuffled. Query rows are packed into
+blocks of at most `block_rows`; one block at a time is broadcast, and a job of its own takes it over all shards, so the largest objects
+in a task are a shard and a block, at any input size. A query begins with a threshold: its k-th best score among the
+block's own vectors, which are candidates like any others. A task carries its queries' thresholds from shard to shard,
+and a query skips a shard whose upper bound stays under its threshold. For a query and a shard
 each dimension j has a posting array (the shard's column) and bounds lo_j <= q_j * x_j <= hi_j from the column's
 extremes. Dimensions are ordered by hi - lo. Those whose ranges, summed from the end, cannot lift a candidate over the
 current threshold are non-essential: the essential columns are traversed for the whole shard, the others are probed
-step by step for candidates that can still reach the threshold. Shards give their best k + 1 (the query's own row may
+step by step for candidates that can still reach the threshold. Tasks give their best k + 1 (the query's own row may
 be among them), and these are merged by query.
 """
 
@@ -21,16 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import cut
+from lodeseek.llm.common import col, cut
 
 _EXACT = float(1 << 53)
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(id long, v array<double>): floor(scale * x) of the rows that take part (id and vector non-null, all components finite)."""
-    x = F.col(vec_col)
-    whole = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    kept = vectors.filter(whole).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
+    x = col(vec_col)
+    whole = col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    kept = vectors.filter(whole).select(col(id_col).cast("long").alias("id"), x.alias("x"))
     return kept.select("id", F.transform("x", lambda e: _floor(e.cast("double") * scale)).alias("v"))
 
 
@@ -39,26 +41,47 @@ def _floor(x):
     return F.when(F.abs(x) < _EXACT, F.floor(x).cast("double")).otherwise(x)
 
 
-def _packed(frame: DataFrame, rows: int, number: bool) -> DataFrame:
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors as a matrix, short ones ended in zeros) of at most `rows` rows."""
+    for batch in batches:
+        ids, vectors = batch.column("id").to_numpy(zero_copy_only=False), batch.column("v")
+        for at in range(0, len(ids), rows):
+            some = vectors.slice(at, rows).to_numpy(zero_copy_only=False).tolist()
+            matrix = np.zeros((len(some), max(map(len, some))))
+            for row, v in zip(matrix, some):
+                row[: len(v)] = v
+            yield ids[at : at + rows], matrix
+
+
+def _packed(frame: DataFrame, rows: int, k: int) -> DataFrame:
+    """(part, blob): blocks of queries with their first thresholds, each the k-th best score among the block's vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, part = [], [], TaskContext.get().partitionId()
-        for batch in batches:
-            ids += batch.column("id").to_pylist()
-            vectors += batch.column("v").to_numpy(zero_copy_only=False).tolist()
-            while not number and len(ids) >= rows:
-                yield row(part, ids[:rows], vectors[:rows])
-                del ids[:rows], vectors[:rows]
-        if ids:
-            yield row(part, ids, vectors)
-
-    def row(part: int, ids: list, vectors: list) -> pa.RecordBatch:
-        width = max(map(len, vectors))
-        matrix = np.zeros((len(ids), width))
-        for at, v in enumerate(vectors):
-            matrix[at, : len(v)] = v
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps((np.array(ids, np.int64), matrix), 5)], pa.binary())], names=["part", "blob"])
-
-    return frame.mapInArrow(run, "part int, blob binary")
+        part = TaskContext.get().partitionId() << 32
+        for ids, q in _chunks(_joined(batches, rows), rows):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pickle.dumps((ids, q, first_floors(q, k)), 5)], pa.binary())], names=["part", "blob"])
+            part += 1
+
+    return frame.mapInArrow(run, "part long, blob binary")
+
+
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def first_floors(q: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the k-th best inner product with all rows, -inf where there are fewer, or where sums may be inexact."""
+    if len(q) < k or float(np.abs(q).max(initial=0)) ** 2 * q.shape[1] >= _EXACT:
+        return np.full(len(q), -np.inf)
+    return np.concatenate([np.partition(q[at : at + 256] @ q.T, len(q) - k, axis=1)[:, len(q) - k] for at in range(0, len(q), 256)])
 
 
 def _dot(a: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -116,7 +139,34 @@ def _first(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], score[order]
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, shard_rows: int = 2048, block_rows: int = 2048) -> DataFrame:
+class Running:
+    """The k best candidates so far of each query of a block, and the thresholds that they set."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int):
+        self.ids, self.q, self.floors, self.k = ids, q, floors.copy(), k
+        self.got: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
+
+    def take(self, ids: np.ndarray, x: np.ndarray) -> int:
+        """Takes a shard over all queries that may find something there; gives their number."""
+        low, high, top = known = bounds(x)
+        width = min(x.shape[1], self.q.shape[1])
+        q = self.q[:, :width]
+        reach = np.full(len(q), np.inf)
+        if top * float(np.abs(q).max(initial=0)) * max(1, width) < _EXACT:
+            reach = np.maximum(q, 0) @ high[:width] + np.minimum(q, 0) @ low[:width]
+        some = np.flatnonzero(reach >= self.floors)
+        for at in some.tolist():
+            near, score = best(ids, x, self.q[at], self.k, self.floors[at], shard=known)
+            if len(near):
+                before, scores = self.got[at]
+                near, score = np.concatenate((before, near)), np.concatenate((scores.astype(score.dtype), score))
+                self.got[at] = near, score = _first(near, score, self.k)
+                if len(near) == self.k and score.dtype != object:
+                    self.floors[at] = max(self.floors[at], score[-1])
+        return len(some)
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, shard_rows: int = 2048, block_rows: int = 4096) -> DataFrame:
     """query_id long, rank int, vec_id long, score long: the k best other rows of each row whose id is divisible by `every`.
 
     Rows with a null id, or a vector that is null or holds a null or non-finite component, take no part. Vectors of
@@ -124,32 +174,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     Of repeated rows each is a query, and a candidate for all but itself. Fewer candidates than k: all. No rows: no rows.
     """
     frame = quantised(vectors, id_col, vec_col, scale)
-    asked = frame.filter(F.pmod("id", F.lit(every)) == 0)
-    n = asked.count()
-    blocks = max(1, -(-n // block_rows))
-    asked = cut(_packed(asked.repartition(blocks, F.xxhash64("id")), block_rows, True))
-    # Few blocks would meet all shards in few tasks: each block is given out `spread` times, and a shard meets one copy.
-    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
-    spread = max(1, tasks // blocks)
-    asked = asked.select("part", F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("copy"))
-    shards = _packed(frame, shard_rows, False).select(F.col("blob").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    shards = shards.withColumn("copy", F.pmod(F.xxhash64("shard"), F.lit(spread)).cast("int"))
-    met = shards.repartition(max(tasks, blocks), "part", "copy").join(asked, ["part", "copy"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, shard, queries in zip(batch.column("part").to_pylist(), batch.column("shard").to_pylist(), batch.column("queries").to_pylist()):
-                (ids, x), (own, q) = pickle.loads(shard), pickle.loads(queries)
-                known, rows = bounds(x), []
-                for at in range(len(own)):
-                    got, score = best(ids, x, q[at], k + 1, shard=known)
-                    rows.append((np.full(len(got), at), np.full(len(got), own[at]), got, [min(2**63 - 1, max(-(2**63), int(s))) for s in score.tolist()], np.full(len(got), min(2.0**63, float(q[at] @ q[at])))))
-                if rows:
-                    arrays = [np.concatenate([r[c] for r in rows]) for c in (0, 1, 2)] + [[s for r in rows for s in r[3]], np.concatenate([r[4] for r in rows])]
-                    arrays = [pa.array(c, t) for c, t in zip(arrays, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(arrays[0]), pa.int32()), *arrays], names=["part", "at", "query_id", "vec_id", "score", "self"])
-
-    found = met.mapInArrow(run, "part int, at int, query_id long, vec_id long, score long, self double")
+    blocks = cut(_packed(frame.filter(F.pmod("id", F.lit(every)) == 0), block_rows, k + 1))
+    parts = [r["part"] for r in blocks.select("part").orderBy("part").collect()]  # one number for each block_rows queries
+    out = "part long, at int, query_id long, vec_id long, score long, self double"
+    found = vectors.sparkSession.createDataFrame([], out)
+    for n, part in enumerate(parts):
+        block = vectors.sparkSession.sparkContext.broadcast(bytes(blocks.filter(F.col("part") == part).select("blob").first()["blob"]))
+        one = frame.mapInArrow(_over_shards(block, part, k + 1, shard_rows), out)
+        found = found.unionByName(one if len(parts) == 1 else cut(one))
     query = Window.partitionBy("part", "at").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(query)).filter(F.col("r") <= k + 1)
     # One row is the query's own: its id, and its score with itself. Exactly one such row goes.
@@ -158,3 +190,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     found = found.withColumn("own", F.coalesce(first, F.lit(k + 2))).filter(F.col("r") != F.col("own"))
     rank = F.col("r") - F.when(F.col("r") > F.col("own"), 1).otherwise(0)
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _over_shards(block, part: int, k: int, shard_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q, floors = pickle.loads(block.value)
+        running = Running(own, q, floors, k)
+        for ids, x in _chunks(_joined(batches, shard_rows), shard_rows):
+            running.take(ids, x)
+        whole = lambda s: min(2**63 - 1, max(-(2**63), int(s)))
+        rows = [(part, at, own[at], i, whole(s), min(2.0**63, float(q[at] @ q[at]))) for at, (ids, score) in enumerate(running.got) for i, s in zip(ids.tolist(), score.tolist())]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=["part", "at", "query_id", "vec_id", "score", "self"])
+
+    return run

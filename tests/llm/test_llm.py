@@ -428,6 +428,26 @@ def test_top_k(spark, shard_rows, block_rows):
     assert [tuple(r) for r in top_k(frame.filter("vec_id IN (10, 11)"), every=10).select("query_id", "rank", "vec_id").collect()] == [(10, 1, 11)]
 
 
+def test_thresholds_are_carried_over_shards():
+    """A threshold makes dimensions non-essential and skips whole shards, and changes no result."""
+    from lodeseek.llm.maxscore import Running, first_floors
+
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(0, 60, (600, 16)))
+    x[300:] = np.floor(x[300:] / 20)  # shards that cannot compete
+    q = x[:40]
+    floors = first_floors(q, 6)
+    assert all(f == sorted(q @ y)[-6] for f, y in zip(floors, q))
+    taken = {}
+    for name, start in (("with", floors), ("without", np.full(40, -np.inf))):
+        running = Running(np.arange(40), q, start, 6)
+        taken[name] = sum(running.take(np.arange(at, at + 50), x[at : at + 50]) for at in range(0, 600, 50))
+        for at in range(40):
+            order = sorted(range(600), key=lambda i: (-(x[i] @ q[at]), i))[:6]
+            assert running.got[at][0].tolist() == order
+    assert taken["with"] <= taken["without"] < 40 * 12
+
+
 def test_top_k_of_large_components(spark):
     from lodeseek.llm.maxscore import top_k
 
