@@ -1,7 +1,7 @@
 """Exact top-k by integer inner product, with MaxScore over dimensions as query terms.
 
 The table is read where it lies, in shards of at most `shard_rows` vectors, and is never shuffled. Query rows are packed into
-blocks of at most `block_rows`; one block at a time is broadcast, and a job of its own takes it over all shards, so the largest objects
+blocks of about `block_rows`; one block at a time is broadcast, and a job of its own takes it over all shards, so the largest objects
 in a task are a shard and a block, at any input size. A query begins with a threshold: its k-th best score among the
 block's own vectors, which are candidates like any others. A task carries its queries' thresholds from shard to shard,
 and a query skips a shard whose upper bound stays under its threshold. For a query and a shard
@@ -174,7 +174,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     Of repeated rows each is a query, and a candidate for all but itself. Fewer candidates than k: all. No rows: no rows.
     """
     frame = quantised(vectors, id_col, vec_col, scale)
-    blocks = cut(_packed(frame.filter(F.pmod("id", F.lit(every)) == 0), block_rows, k + 1))
+    asked = frame.filter(F.pmod("id", F.lit(every)) == 0)
+    asked = asked.repartition(max(1, -(-asked.count() // block_rows)))  # in turn, so of even sizes whatever ids repeat
+    blocks = cut(_packed(asked, 2 * block_rows, k + 1))
     parts = [r["part"] for r in blocks.select("part").orderBy("part").collect()]  # one number for each block_rows queries
     out = "part long, at int, query_id long, vec_id long, score long, self double"
     found = vectors.sparkSession.createDataFrame([], out)
