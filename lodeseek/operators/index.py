@@ -67,10 +67,8 @@ def build_docs(docs: DataFrame, lengths: DataFrame, body: str, key: str = "doc_i
     return rows.join(lengths, "doc_id", "left").withColumn("doc_length", F.coalesce("doc_length", F.lit(0)))
 
 
-def latest(docs: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
-    """The last version of each document of a batch."""
-    if order is None:
-        return docs.dropDuplicates([key])
+def latest(docs: DataFrame, key: str, order: Column) -> DataFrame:
+    """Of each document of a batch the version that is greatest by order, which must tell versions apart."""
     return docs.groupBy(key).agg(F.max_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
 
 
@@ -78,7 +76,7 @@ def parsed_documents(pages: DataFrame, key: str = "page_id", mode: str = "regex"
     """Pages as index input: parsed, dated and with an era."""
     parsed = parse_pages(pages, key, mode=mode)
     published, modified, era = best_dates(F.col("published_date"), F.col("modified_date"), F.col("url"), F.col("text_content"))
-    return parsed.select(F.col(key).alias("doc_id"), "url", "title", F.col("text_content").alias("body"), "description", published.alias("published_at"), modified.alias("modified_at"), era.alias("era"))
+    return parsed.select(F.col(key).alias("doc_id"), "url", "title", F.col("text_content").alias("body"), "h1", "h2", "description", published.alias("published_at"), modified.alias("modified_at"), era.alias("era"))
 
 
 def remove_documents(posting_rows: DataFrame, ids: DataFrame) -> DataFrame:

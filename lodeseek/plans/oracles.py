@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from lodeseek.functions.aiscore import PHRASES, STARTERS
-from lodeseek.functions.text import STEP_2, STEP_3, STEP_4, STOP_WORDS
-from lodeseek.functions.urls import EXTENSIONS, LOW_VALUE
 from lodeseek.plans import fixtures as fx
 
+# The values of the definitions, in SQL: written out here a second time, so that a slip in the library's lists shows.
+STOP_WORDS = """a an the i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+    they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing
+    would should could ought might must shall will can at by for from in into of on to with about against between through during before after above below
+    up down out off over under and but if or because as until while although though unless since when where why how all each every both few more most
+    other some such no nor not only own same so than too very just also now here there then need any many much even back well way want get got go going
+    make made like http https www com org net html htm""".split()
+STEP_2 = dict(p.split(">") for p in """ational>ate tional>tion enci>ence anci>ance izer>ize abli>able alli>al entli>ent eli>e ousli>ous ization>ize ation>ate ator>ate
+    alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble""".split())
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+PHRASES = """delve|delves|delving|tapestry|multifaceted|nuanced|comprehensive|crucial|vital|realm|landscape|paradigm|leverage|leveraging|utilize|utilizing|foster|fostering|facilitate|enhance|enhancing|optimal|robust|seamless|streamline|pivotal|intricate|myriad|plethora|pertaining|it's important to note|it is important to note|it's worth noting|it is worth noting|in today's world|in this day and age|at the end of the day|when it comes to|in terms of|on the other hand|that being said|having said that|it goes without saying|in conclusion|to summarize|to sum up|in summary|all in all|overall|let's dive in|let's explore|let's delve|this article will|this guide will|in this article|in this guide|in this post|welcome to this|it's essential|it is essential|play a crucial role|plays a crucial role|of paramount importance""".split("|")
+STARTERS = """furthermore|additionally|moreover|however|consequently|nevertheless|subsequently|therefore|thus|hence|in addition|as a result|for instance|for example|in fact|indeed|notably|importantly|specifically|particularly|firstly|secondly|thirdly|finally|lastly|to begin|to start|moving on|next|now""".split("|")
+EXTENSIONS = "pdf zip tar gz rar 7z exe dmg msi deb rpm jpg jpeg png gif svg ico webp mp3 mp4 avi mov wmv flv doc docx xls xlsx ppt pptx css js json xml rss atom woff woff2 ttf eot".split()
+LOW_VALUE = """/login /logout /signin /signout /signup /register /password /forgot /reset /account /profile /settings /preferences /print /share /email /export /download
+    /subscribe /unsubscribe /feed /forks /stargazers /watchers /network /graphs /pulse /compare /commits /wiki/special: /wiki/talk: /wiki/user: /wiki/wikipedia: /wiki/file:
+    /wiki/template: /wiki/category: /wiki/portal: /wiki/help: action=edit action=history oldid= /share? utm_ fbclid= gclid= /search /archive/ /comment /reply /vote""".split()
+
 
 def quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
@@ -123,6 +138,13 @@ def adjacent(a: str, b: str) -> str:
     return f"coalesce(list_has_any(list_transform({pos(a)}, lambda x: x + 1), {pos(b)}), FALSE)"
 
 
+def _moved(term: str, by: int) -> str:
+    return f"list_transform({pos(term)}, lambda x: x + {by})"
+
+
+RUN = f"coalesce(list_has_any(list_intersect({_moved('ci', 2)}, {_moved('nci', 1)}), {pos('n')}), FALSE)"
+
+
 # HTML
 
 
@@ -367,8 +389,8 @@ ORACLES = {
     "bm25_topk": f"WITH {ranked(FLAG)} SELECT doc_id, round(score, 6) AS score, {snippet('text')} AS snippet FROM (SELECT * FROM m ORDER BY score DESC, doc_id LIMIT 10) JOIN d USING (doc_id)",
     "repeated_terms": f"WITH {ranked({'thing': 2, 'attion': 1}, having=f'{pos('attion')} IS NOT NULL')} {SCORED}",
     "exclusion": f"WITH {ranked({'attion': 1}, ['thing'])} {SCORED}",
-    "phrase_pairwise": f"WITH {ranked({'onth': 1, 'the': 1, 'attion': 2, 'thing': 2}, having='FALSE')} {SCORED}",
-    "phrase_contiguous": f"WITH {ranked({'attion': 1, 'thing': 1}, having=adjacent('attion', 'thing'))} {SCORED}",
+    "phrase_pairwise": f"WITH {ranked({'ci': 2, 'nci': 2, 'n': 1, 'de': 1}, having=adjacent('ci', 'nci') + ' AND ' + adjacent('nci', 'n'))} {SCORED}",
+    "phrase_contiguous": f"WITH {ranked({'ci': 1, 'nci': 1, 'n': 1}, having=RUN)} {SCORED}",
     "ai_filter_max": f"WITH {ranked({'attion': 1}, where='ai_score <= 0.1')} {SCORED}",
     "ai_filter_min": f"WITH {ranked({'attion': 1, 'thing': 1}, where='ai_score >= 0.1')} {SCORED}",
     "ai_penalty": f"WITH {D}, {ai_ctes('d')} SELECT doc_id, round(ai_score * 0.2, 6) AS penalty, round(10 * (1 - ai_score * 0.2), 6) AS final FROM ai",
@@ -380,6 +402,10 @@ ORACLES = {
     "ai_repeat": f"WITH {REWRITTEN}, {ai_ctes('e')} SELECT doc_id, round(repetition, 6) AS repetition FROM ai",
     "ai_score": f"WITH {REWRITTEN}, {ai_ctes('e')} SELECT doc_id, round(ai_score, 6) AS ai_score FROM ai",
     "sentences": f"WITH {D}, {ai_ctes('d')} SELECT doc_id, n_sentences AS n, n_paragraphs AS paragraphs FROM ai",
+    "html_lenient": """SELECT page_id, 'T' || page_id || ' — café ’A© &nosuch;' AS title, 'icon Head ' || page_id || ' one &amp; two Sub ' || page_id || ' More first second none' AS text_content,
+        'Head ' || page_id || ',More' AS h1, 'Sub ' || page_id AS h2, 'http://h.test/x/' || page_id || ' first,http://h.test/y?a=1&b=2 second' AS links FROM pages""",
+    "heading_postings": """SELECT page_id AS doc_id, term, field, tf, positions, 4 AS doc_length
+        FROM pages, (VALUES ('head', 2, 1, '0'), ('sub', 3, 1, '0')) v(term, field, tf, positions)""",
     "title": f"WITH {P} SELECT page_id, {html_title()} AS title FROM p",
     "text": f"WITH {P}, x AS (SELECT page_id, {html_text()} AS text FROM p) SELECT page_id, text, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS word_count FROM x",
     "html_tree": f"WITH {LINKS} SELECT p.page_id, {html_title()} AS title, {html_text()} AS text, (SELECT count(*) FROM al WHERE al.page_id = p.page_id AND al.url <> '') AS link_count FROM p",

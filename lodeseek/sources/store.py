@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS, SPLITS = 64, 16
 
 
 def bucketed(postings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -45,7 +45,8 @@ class IndexStore:
             path = f"{self.root}/{version}/{name}"
             frame = frame(written) if callable(frame) else frame
             if name == "postings":
-                bucketed(frame).repartition(F.col("bucket")).sortWithinPartitions("term", "doc_id").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+                # A bucket is dealt to several tasks by document, so that a frequent term's postings are not one task's.
+                bucketed(frame).repartition(F.col("bucket"), F.pmod(F.hash("doc_id"), F.lit(SPLITS))).sortWithinPartitions("term", "doc_id").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
             else:
                 frame.write.option("compression", "zstd").parquet(path)
         return version

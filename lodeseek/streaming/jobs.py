@@ -13,30 +13,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 import lodeseek.streaming
 from lodeseek.functions.urls import domain_mt, url_normalize_mt
-from lodeseek.operators.index import build_docs, field_tokens, latest, merge_postings, parsed_documents, posting_lengths, postings, terms
+from lodeseek.operators.index import build_docs, doc_lengths, field_tokens, index_stats, latest, merge_postings, parsed_documents, postings, terms
 from lodeseek.sources.store import IndexStore
 
 cloudpickle.register_pickle_by_value(lodeseek.streaming)
 
-PAGES = "page_id long, url string, html string"
-COLUMNS = {"TITLE": "title", "BODY": "body", "META_DESC": "description", "URL": "url"}
+#: crawled_at, in seconds, tells versions of a page apart; sources may lack it.
+PAGES = "page_id long, url string, html string, crawled_at long"
+COLUMNS = {"TITLE": "title", "H1": "h1", "H2": "h2", "BODY": "body", "META_DESC": "description", "URL": "url"}
 
 
 def index_tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    """docs and postings of index input (doc_id, url, title, body, description, dates, era)."""
-    rows = postings(field_tokens(parsed, COLUMNS))
-    return {"docs": build_docs(parsed, posting_lengths(rows), "body"), "postings": rows}
+    """docs and postings of index input (doc_id, url, title, h1, h2, body, description, dates, era)."""
+    tokens = field_tokens(parsed, COLUMNS)
+    return {"docs": build_docs(parsed, doc_lengths(tokens), "body"), "postings": postings(tokens)}
 
 
 def merge_batch(store: IndexStore, pages: DataFrame) -> None:
-    """Indexes the pages' latest versions and publishes base and delta as one new version."""
-    delta = index_tables(parsed_documents(latest(pages, "page_id")))
+    """Indexes the pages' latest versions, by crawled_at, and publishes base and delta as one new version."""
+    version = F.struct(F.coalesce("crawled_at", F.lit(0)), F.xxhash64("url", "html")) if "crawled_at" in pages.columns else F.xxhash64("url", "html")
+    delta = index_tables(parsed_documents(latest(pages, "page_id", version)))
     if store.current() is not None:
         base = {n: store.read(n) for n in ("docs", "postings")}
         new = delta["docs"].select("doc_id")
         delta["docs"] = base["docs"].join(new, "doc_id", "left_anti").unionByName(delta["docs"])
         delta["postings"] = merge_postings(base["postings"].drop("bucket"), delta["postings"])
     delta["terms"] = lambda read: terms(read("postings"))
+    delta["stats"] = lambda read: index_stats(read("docs"), read("terms"))
     store.commit(delta)
 
 
