@@ -102,7 +102,8 @@ def batch_top(queries: DataFrame, docs: DataFrame, postings: DataFrame, terms: D
     rows = rows.join(docs.select("doc_id", "doc_length", "ai_score"), "doc_id").withColumn("_one", F.lit(1)).join(F.broadcast(stats.select("doc_count", "avgdl").withColumn("_one", F.lit(1))), "_one")
     rows = rows.select("term", "doc_id", "ai_score", bm25(F.col("tf"), F.col("df"), F.col("doc_count"), F.col("doc_length"), F.col("avgdl"), p).alias("s")).join(queries, "term")
     scored = rows.groupBy("query_id", "doc_id").agg((F.sum(F.col("s") * F.col("times")) * (1 - F.first("ai_score") * p.penalty)).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    # Sums differ in their last digits with the order of their terms; copies of a document tie all the same.
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

@@ -360,6 +360,9 @@ PAGE_INDEX = f"""{P}, pd AS (SELECT page_id AS doc_id, url, {html_title()} AS ti
         {stem_ctes('tok')}, {POST}, terms AS (SELECT term, count(DISTINCT doc_id) AS df FROM post GROUP BY term)"""
 AVERAGE = "(SELECT doc_id, coalesce(dl, 0) AS dl FROM d LEFT JOIN (SELECT doc_id, count(*) AS dl FROM post GROUP BY doc_id) USING (doc_id))"
 
+#: Events as frontier entries.
+ENTRIES = "SELECT 'http://h' || user_id || '.test/' || event_id AS url, 'h' || user_id || '.test' AS domain, event_id % 4 AS priority, event_id AS seq FROM events"
+
 ORACLES = {
     "normalize": f"WITH {D} SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS normalized, {low('text')} AS lowered FROM d",
     "tokenize_plain": f"WITH {D} SELECT doc_id, array_to_string({WORDS.format('text')}, ',') AS tokens FROM d",
@@ -462,4 +465,32 @@ ORACLES = {
         SELECT page_id, CASE WHEN {' OR '.join(c for _, c in RULES_)} THEN 'filtered' WHEN coalesce(have, 0) >= 4 THEN 'domain limit' WHEN ends_with(domain, 'example.org') AND regexp_matches(url, '^.*?://[^/]*/fr') THEN 'robots' ELSE 'fetch' END AS decision,
         CAST(CASE WHEN ends_with(domain, 'example.org') THEN 3000 ELSE 1000 END AS BIGINT) AS delay_ms FROM x LEFT JOIN n USING (domain)""",
     "new_links": f"WITH {LINKS}, u AS (SELECT DISTINCT url FROM al WHERE url <> '' AND NOT ({' OR '.join(c for _, c in RULES_)})), v AS (SELECT DISTINCT {normalised_mt('url')} AS n FROM u) SELECT n AS url, {domain_mt('n')} AS domain FROM v WHERE n <> '' AND n NOT IN (SELECT {normalised_mt('url')} FROM p)",
+    "frontier_saved": f"SELECT url, domain, priority, seq AS added_at FROM ({ENTRIES})",
+    "frontier_exported": f"SELECT url, 0 AS priority, seq FROM ({ENTRIES}) WHERE priority = 3",
+    "next_url": f"WITH e AS ({ENTRIES}) SELECT url, seq FROM e WHERE domain NOT IN (SELECT domain FROM e WHERE seq % 97 = 0) ORDER BY priority, seq LIMIT 1",
+    "frontier_counters": f"WITH e AS ({ENTRIES}) SELECT count(DISTINCT domain) FILTER (seq % 10 <> 0) AS urls_added, count(*) FILTER (seq % 10 <> 0) - count(DISTINCT domain) FILTER (seq % 10 <> 0) AS duplicates_rejected, count(*) FILTER (seq % 10 = 0) AS invalid FROM e",
+    "crawl_counters": f"""SELECT count(*) FILTER (seq % 3 <> 0 AND seq % 4 <> 0) AS crawled, count(*) FILTER (seq % 3 <> 0 AND seq % 4 = 0) AS failed, count(*) FILTER (seq % 3 = 0) AS filtered,
+        CAST(coalesce(sum(seq % 1000) FILTER (seq % 3 <> 0 AND seq % 4 <> 0), 0) AS BIGINT) AS bytes, CAST(sum(seq % 9) AS BIGINT) AS links_found, CAST(sum(seq % 5) AS BIGINT) AS links_accepted FROM ({ENTRIES})""",
+    "robots_cache": f"SELECT domain, CASE WHEN max(seq) % 5 = 0 THEN '' ELSE '# ' || max(seq) END AS content FROM ({ENTRIES}) GROUP BY domain",
+    "seed_list": f"WITH {P} SELECT page_id, trim(url) || e AS url FROM p, (VALUES (''), ('/b')) v(e) WHERE trim(url) || e <> ''",
+    "latest_versions": "SELECT page_id, 'text ' || arg_max(v, (v * (page_id % 5 + 1)) % 11) AS html FROM pages, (VALUES (2), (7), (5)) x(v) GROUP BY page_id",
+    "batch_search": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -1 - item_id, coalesce(text, '') FROM benchmark), {TOK}, {stem_ctes('tok')}, {POST},
+        dd AS (SELECT * FROM d WHERE doc_id >= 0), {ai_ctes('dd')},
+        tt AS (SELECT term, count(DISTINCT doc_id) AS df FROM post WHERE doc_id >= 0 GROUP BY term), len0 AS (SELECT doc_id, count(*) AS dl FROM post GROUP BY doc_id),
+        docs AS (SELECT dd.doc_id, coalesce(dl, 0) AS dl, ai_score FROM dd LEFT JOIN len0 USING (doc_id) LEFT JOIN ai USING (doc_id)),
+        st AS (SELECT (SELECT count(*) FROM docs) AS n, (SELECT avg(dl) FROM (SELECT dl FROM docs ORDER BY CAST(doc_id AS VARCHAR) LIMIT 100)) AS avgdl),
+        q AS (SELECT -1 - doc_id AS query_id, term, sum(tf) AS times FROM post WHERE doc_id < 0 GROUP BY ALL), f AS (SELECT term, doc_id, sum(tf) AS tf FROM post WHERE doc_id >= 0 GROUP BY term, doc_id),
+        s AS (SELECT query_id, f.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * times) * (1 - 0.2 * any_value(ai_score)) AS score
+            FROM f JOIN q USING (term) JOIN tt USING (term) JOIN docs ON docs.doc_id = f.doc_id, st GROUP BY query_id, f.doc_id)
+        SELECT query_id, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 3""",
+    "parsed_queries": """SELECT * FROM (VALUES
+        ('bitcoin price', 'bitcoin price', '', '', NULL, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), NULL),
+        ('bitcoin era:pre-ai ai:<0.3', 'bitcoin', '', '', 'PRE_AI', 0.3, NULL, NULL),
+        ('price site:Example.com -scam', 'price', '', 'scam', NULL, NULL, NULL, 'example.com'),
+        ('"machine learning" the basics', 'basic', 'machine learning', '', NULL, NULL, NULL, NULL),
+        ('a:b -x: ai:2 e-mail', 'ab ai2 email', '', 'x', NULL, NULL, NULL, NULL),
+        ('', '', '', '', NULL, NULL, NULL, NULL),
+        ('open "quote running', 'open quot run', '', '', NULL, NULL, NULL, NULL),
+        ('era:post-ai ai:0.5 ai:>0.2', 'erapostai', '', '', NULL, 0.5, 0.2, NULL)
+        ) v("query", terms, phrases, excluded, era, max_ai, min_ai, site)""",
 }

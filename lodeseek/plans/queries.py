@@ -647,3 +647,64 @@ def new_links(spark, folder):
     parsed = pages_of(spark, folder).select(hp.html_links(F.col("html"), F.col("url")).alias("links"))
     seen = pages_of(spark, folder).select(urls.url_normalize_mt(F.col("url")).alias("url"))
     return fr.new_links(parsed, seen).select("url", "domain")
+
+
+def frontier_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as frontier entries: user_id names the domain, the event id gives order and priority."""
+    domain = F.concat(F.lit("h"), F.col("user_id").cast("string"), F.lit(".test"))
+    return read(spark, folder, "events").select(F.concat(F.lit("http://"), domain, F.lit("/"), F.col("event_id").cast("string")).alias("url"), domain.alias("domain"), (F.col("event_id") % 4).cast("int").alias("priority"), F.col("event_id").alias("seq"))
+
+
+@query
+def frontier_saved(spark, folder):
+    """The frontier written and loaded again."""
+    path = shared_path(spark, "frontier")
+    pg.save_frontier(frontier_rows(spark, folder).withColumn("added_at", F.col("seq")), path)
+    return pg.load_frontier(spark, path).select("url", "domain", F.col("priority").cast("long").alias("priority"), "added_at")
+
+
+@query
+def frontier_exported(spark, folder):
+    rows = fr.imported(fr.exported(frontier_rows(spark, folder).filter("priority = 3")))
+    return rows.select("url", F.col("priority").cast("long").alias("priority"), "seq")
+
+
+@query
+def next_url(spark, folder):
+    rows = frontier_rows(spark, folder)
+    return fr.next_url(rows, rows.filter("seq % 97 = 0").select("domain")).select("url", "seq")
+
+
+@query
+def frontier_counters(spark, folder):
+    """A URL a user, every tenth invalid."""
+    rows = frontier_rows(spark, folder).withColumn("url", F.when(F.col("seq") % 10 == 0, "bad").otherwise(F.concat(F.lit("http://"), "domain", F.lit("/"))))
+    return fr.counters(rows, fr.admitted(rows, mt=True))
+
+
+@query
+def crawl_counters(spark, folder):
+    k = F.col("seq")
+    rows = frontier_rows(spark, folder).select(
+        F.when(k % 3 == 0, "robots").otherwise("fetch").alias("decision"), F.when(k % 4 == 0, 404).otherwise(200).alias("status_code"), (k % 1000).alias("content_size"), (k % 9).alias("links_found"), (k % 5).alias("links_accepted"))
+    return fr.crawl_counters(rows)
+
+
+@query
+def robots_cache(spark, folder):
+    """The latest robots file of each domain, every fifth fetch failed."""
+    rows = frontier_rows(spark, folder).select("domain", F.col("seq").alias("fetched_at"), F.when(F.col("seq") % 5 != 0, F.concat(F.lit("# "), F.col("seq").cast("string"))).alias("content"))
+    return rb.robots_cache(rows)
+
+
+@query
+def seed_list(spark, folder):
+    return pages_of(spark, folder).select("page_id", F.explode(pg.seeds_from_list(F.concat(F.lit(" "), "url", F.lit(" ,, "), "url", F.lit("/b\t")))).alias("url"))
+
+
+@query
+def latest_versions(spark, folder):
+    """Three versions of each page in one batch; the one of the greatest time stays, whatever its place."""
+    version = F.explode(F.array(F.lit(2), F.lit(7), F.lit(5))).alias("v")
+    rows = pages_of(spark, folder).select("page_id", version).select("page_id", F.concat(F.lit("text "), F.col("v").cast("string")).alias("html"), ((F.col("v") * (F.col("page_id") % 5 + 1)) % 11).alias("at"))
+    return ix.latest(rows, "page_id", F.col("at")).select("page_id", "html")
