@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.llm.common import col
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Every known sentence holds one of these.
 HINT = "licen[sc]e|under|domain|permi|redistribut|copyright|warrant|liable|reserved"
@@ -132,8 +134,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null, empty and licence-free texts have empty arrays. Null and repeated ids come back as they are; other columns are not read.
     known: a short map of normalised sentences (each must hold a HINT) to identifiers without commas.
     """
-    text = F.col(text_col)
+    text = col(text_col)
     hinted = F.translate(text, _UPPER, _LOWER).rlike(HINT)
     ids = F.when(hinted, sentence_ids(text, known)).otherwise(F.array().cast("array<string>"))
-    found = docs.select(F.col(id_col), F.coalesce(ids, F.array().cast("array<string>")).alias("sentence_ids"))
+    found = docs.select(col(id_col), F.coalesce(ids, F.array().cast("array<string>")).alias("sentence_ids"))
     return found.withColumn("licenses", licences(F.col("sentence_ids"), rules))

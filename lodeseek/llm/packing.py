@@ -20,9 +20,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lodeseek.llm.common import slices
+from lodeseek.llm.common import fields, slices, slim
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -163,8 +162,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     rows. No rows give no rows. Other columns are not read. `path`: the vocabulary file, on every machine.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
+    rows = slim(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, made = encoder(path), Packer(capacity, max_open), TaskContext.get().partitionId() << 32
@@ -203,5 +201,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             closed(packer.finish())
             yield batch_of()
 
-    found = slim.mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    found = rows.mapInArrow(run, fields(rows.schema["id"], "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"))
     return found.withColumnRenamed("id", id_col)

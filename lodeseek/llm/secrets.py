@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodeseek.llm.automaton import compile_rules, parse, width
-from lodeseek.llm.common import fields, slices, slim, utf8
+from lodeseek.llm.common import boxed, fields, slices, slim, utf8
 
 
 @dataclass(frozen=True)
@@ -162,17 +162,16 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
 
     All columns come back in their order; a null text stays null.
     """
-    names = docs.columns
-    at, machine = names.index(text_col), compiled(rules)
+    rows, at, machine = boxed(docs), docs.columns.index(text_col), compiled(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using = scanner(machine)
-        for batch in slices(batches, names[at]):
-            column = batch.column(at)
-            texts = [None if t is None else replaced(t, scan(t, rules, using)) for t in utf8(column)]
-            columns = list(batch.columns)
-            columns[at] = pa.array([None if t is None else t.decode() for t in texts], column.type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for batch in slices(batches, "row"):
+            row = batch.column("row")
+            columns = row.flatten()
+            texts = [None if t is None else replaced(t, scan(t, rules, using)) for t in utf8(columns[at])]
+            columns[at] = pa.array([None if t is None else t.decode() for t in texts], columns[at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type))], names=["row"])
 
     def replaced(data: bytes, found: list[tuple[int, int, int]]) -> bytes:
         out, end = [], 0
@@ -182,4 +181,4 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
             end = max(end, e)
         return b"".join([*out, data[end:]])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).select("row.*")
