@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,6 +82,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def released() -> None:
+    """Gives freed memory back to the system: workers are reused, and would go on holding it beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of text, or of one row."""
     for batch in batches:
@@ -91,3 +99,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
         rows = max(1, batch.num_rows * most // column.nbytes)
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    released()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import col, cut, fields, slices, utf8
+from lodeseek.llm.common import col, cut, fields, released, slices, utf8
 from lodeseek.llm.components import called, components, dealt
 from lodeseek.llm.simhash import fingerprint, linked_pairs, shingle_hashes
 
@@ -178,6 +178,7 @@ def _family_links(families: DataFrame, shingle: int, percent: int, most: int) ->
                     now, held = key, []
                 held.append(row)
         yield links()
+        released()
 
     return lists.mapInArrow(run, "a long, b long")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import boxed, col, fields, slices, utf8
+from lodeseek.llm.common import boxed, col, fields, released, slices, utf8
 from lodeseek.llm.decontaminate import words
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -134,6 +134,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         starts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))[:-1]
         model = fit(got["grade"].to_numpy(), lists.flatten().to_numpy(), starts, bits, **options)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], names=["weights", "thresholds"])
+        released()
 
     # The sample is bounded, so it is fitted in one task; the model alone comes to the driver.
     sampled = texts.mapInArrow(run, "at long, raw long, grade int, features array<int>").orderBy("at", "raw", "grade").limit(max_rows)
