@@ -1,6 +1,6 @@
 """The positional inverted index as tables: docs, postings, terms and statistics; built whole, or merged and cut down.
 
-postings(term, doc_id, field, tf, positions) has a row for each (term, document, field); positions count kept tokens and
+postings(term, doc_id, field, tf, positions, leads) has a row for each (term, document, field); positions count kept tokens and
 restart with each field call. A document's length is its number of distinct (field call, term) pairs, not of tokens.
 """
 
@@ -8,63 +8,62 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeseek.functions.aiscore import ai_score
 from lodeseek.functions.dates import best_dates
-from lodeseek.functions.text import kept_tokens, snippet, with_stems
+from lodeseek.functions.fixed import STOP_WORDS
+from lodeseek.functions.text import snippet
 from lodeseek.functions.urls import domain_stored
 from lodeseek.operators.html import parse_pages
+from lodeseek.operators.inversion import counter, inverter
 
 FIELDS = {"BODY": 0, "TITLE": 1, "H1": 2, "H2": 3, "URL": 4, "META_DESC": 5, "ANCHOR": 6}
 
 
-def field_tokens(docs: DataFrame, columns: dict[str, str], key: str = "doc_id") -> DataFrame:
-    """(doc_id, field, call, position, token): columns maps field names to columns, of text or, for H1 and H2, arrays of text.
-
-    All fields are unpacked by one explode over one scan.
-    """
+def field_calls(docs: DataFrame, columns: dict[str, str]) -> Column:
+    """A document's field calls, as an array of (field, text): columns maps field names to columns, of text or, for H1 and H2, arrays of text."""
     calls = []
     for field, column in columns.items():
         texts = F.col(column) if docs.schema[column].dataType.typeName() == "array" else F.array(F.col(column))
         calls.append(_calls(texts, FIELDS[field]))
-    each = docs.select(F.col(key).alias("doc_id"), F.explode(F.concat(*calls)).alias("c"))
-    return each.select("doc_id", "c.field", "c.call", F.posexplode(kept_tokens(F.coalesce("c.text", F.lit("")))).alias("position", "token"))
+    return F.concat(*calls)
 
 
 def _calls(texts: Column, code: int) -> Column:
-    return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t, i: F.struct(F.lit(code).cast("byte").alias("field"), i.cast("int").alias("call"), t.alias("text")))
+    return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.struct(F.lit(code).cast("byte").alias("field"), t.alias("text")))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """Postings of stemmed tokens; several calls of one field add up, each with positions of its own."""
-    rows = with_stems(tokens)
-    return rows.groupBy("term", "doc_id", "field").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list(F.col("position").cast("int"))).alias("positions"))
+def postings(docs: DataFrame, columns: dict[str, str], key: str = "doc_id", least: int = 1, most: int = 100, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """Postings of documents, one row each in docs; several calls of one field add up, each with positions of its own.
 
-
-def doc_lengths(tokens: DataFrame) -> DataFrame:
-    """(doc_id, doc_length)"""
-    return with_stems(tokens).select("doc_id", "field", "call", "term").distinct().groupBy("doc_id").agg(F.count("*").cast("int").alias("doc_length"))
+    leads marks the first of a document's postings of a term, over all fields. Nothing is shuffled.
+    """
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), T.StructField("doc_id", docs.schema[key].dataType), T.StructField("field", T.ByteType()), T.StructField("tf", T.IntegerType()),
+        T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("leads", T.BooleanType())])
+    return docs.select(F.col(key).alias("doc_id"), field_calls(docs, columns).alias("calls")).mapInArrow(inverter(least, most, stop), schema)
 
 
-def posting_lengths(posting_rows: DataFrame) -> DataFrame:
-    """doc_lengths of an index whose fields are called once a document (all but H1 and H2)."""
-    return posting_rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("doc_length"))
+def doc_length(docs: DataFrame, columns: dict[str, str], least: int = 1, most: int = 100, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """The number of distinct (field call, term) pairs of each row of docs."""
+    return F.arrow_udf(counter(least, most, stop), "int")(field_calls(docs, columns))
 
 
 def terms(posting_rows: DataFrame) -> DataFrame:
     """(term, df)"""
-    return posting_rows.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    return posting_rows.filter("leads").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def build_docs(docs: DataFrame, lengths: DataFrame, body: str, key: str = "doc_id") -> DataFrame:
-    """The docs table, with doc_length from lengths (doc_id, doc_length). docs may have url, title, published_at, modified_at and era; what it lacks is empty or unknown."""
+def build_docs(docs: DataFrame, columns: dict[str, str], body: str, key: str = "doc_id") -> DataFrame:
+    """The docs table; columns are those of the postings, for doc_length. docs may have url, title, published_at, modified_at and era; what it lacks is empty or unknown."""
     have = lambda c, default: F.col(c) if c in docs.columns else F.lit(default)
     text = F.coalesce(F.col(body), F.lit(""))
     url = have("url", "").cast("string")
-    rows = docs.select(
+    return docs.select(
         F.col(key).alias("doc_id"), url.alias("url"), have("title", "").cast("string").alias("title"), snippet(text).alias("snippet"), have("published_at", 0).cast("long").alias("published_at"),
-        have("modified_at", 0).cast("long").alias("modified_at"), ai_score(text).alias("ai_score"), have("era", "unknown").cast("string").alias("era"), domain_stored(url).alias("domain"))
-    return rows.join(lengths, "doc_id", "left").withColumn("doc_length", F.coalesce("doc_length", F.lit(0)))
+        have("modified_at", 0).cast("long").alias("modified_at"), ai_score(text).alias("ai_score"), have("era", "unknown").cast("string").alias("era"), domain_stored(url).alias("domain"),
+        doc_length(docs, columns).alias("doc_length"))
 
 
 def latest(docs: DataFrame, key: str, order: Column) -> DataFrame:

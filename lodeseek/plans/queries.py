@@ -46,8 +46,8 @@ def joined(array: Column) -> Column:
     return F.array_join(array, ",")
 
 
-def body_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return ix.field_tokens(docs_of(spark, folder), {"BODY": "text"})
+def body_postings(spark: SparkSession, folder: str) -> DataFrame:
+    return ix.postings(docs_of(spark, folder), {"BODY": "text"})
 
 
 _STORES: dict[tuple[str, str, str], st.IndexStore] = {}
@@ -59,8 +59,8 @@ def stored(spark: SparkSession, folder: str, kind: str, source: DataFrame, colum
     if key not in _STORES or _STORES[key].current() is None:
         store = st.IndexStore(spark, shared_path(spark, f"index-{kind}"))
         store.commit({
-            "postings": ix.postings(ix.field_tokens(source, columns)),
-            "docs": lambda read: ix.build_docs(source, ix.posting_lengths(read("postings")), body),
+            "postings": ix.postings(source, columns),
+            "docs": ix.build_docs(source, columns, body),
             "terms": lambda read: ix.terms(read("postings")),
             "stats": lambda read: ix.index_stats(read("docs"), read("terms")),
         })
@@ -123,7 +123,7 @@ def stop_words(spark, folder):
 
 @query
 def stem_vocab(spark, folder):
-    return tx.stemmed(body_tokens(spark, folder).select("token").distinct())
+    return tx.stemmed(docs_of(spark, folder).select(F.explode(tx.kept_tokens(F.col("text"))).alias("token")).distinct())
 
 
 @query
@@ -148,24 +148,27 @@ def eras(spark, folder):
 
 @query
 def postings_body(spark, folder):
-    rows = ix.postings(body_tokens(spark, folder))
+    rows = body_postings(spark, folder)
     return rows.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), joined(F.col("positions")).alias("positions"))
 
 
 @query
 def token_df(spark, folder):
-    return ix.terms(ix.postings(body_tokens(spark, folder)))
+    return ix.terms(body_postings(spark, folder))
 
 
 @query
 def doc_length(spark, folder):
-    return ix.doc_lengths(body_tokens(spark, folder)).select("doc_id", F.col("doc_length").cast("long").alias("doc_length"))
+    return _lengths(spark, folder).filter("doc_length > 0")
+
+
+def _lengths(spark, folder):
+    docs = docs_of(spark, folder)
+    return docs.select("doc_id", ix.doc_length(docs, {"BODY": "text"}).cast("long").alias("doc_length"))
 
 
 def _average(spark, folder, mode):
-    tokens = body_tokens(spark, folder)
-    lengths = docs_of(spark, folder).select("doc_id").join(ix.doc_lengths(tokens), "doc_id", "left").fillna(0)
-    return ix.index_stats(lengths, ix.terms(ix.postings(tokens)), mode).select("doc_count", "term_count", F.round("avgdl", 6).alias("avgdl"))
+    return ix.index_stats(_lengths(spark, folder), ix.terms(body_postings(spark, folder)), mode).select("doc_count", "term_count", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query
@@ -181,28 +184,28 @@ def avgdl_exact(spark, folder):
 @query
 def idf(spark, folder):
     n = docs_of(spark, folder).agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
-    rows = ix.terms(ix.postings(body_tokens(spark, folder))).withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
+    rows = ix.terms(body_postings(spark, folder)).withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
     return rows.select("term", F.round(rk.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
 
 @query
 def remove_document(spark, folder):
     gone = docs_of(spark, folder).filter("doc_id % 3 = 0").select("doc_id")
-    return ix.terms(ix.remove_documents(ix.postings(body_tokens(spark, folder)), gone))
+    return ix.terms(ix.remove_documents(body_postings(spark, folder), gone))
 
 
 @query
 def merge_index(spark, folder):
     """Documents with even ids re-indexed in upper case with a word appended; the rest stay."""
-    base = ix.postings(body_tokens(spark, folder))
+    base = body_postings(spark, folder)
     new = docs_of(spark, folder).filter("doc_id % 2 = 0").withColumn("text", F.concat(F.upper(F.translate("text", "äöüéèêçàñóíáúß", "--------------")), F.lit(" appended")))
-    return ix.terms(ix.merge_postings(base, ix.postings(ix.field_tokens(new, {"BODY": "text"}))))
+    return ix.terms(ix.merge_postings(base, ix.postings(new, {"BODY": "text"})))
 
 
 @query
 def multi_field_index(spark, folder):
     parsed = ix.parsed_documents(pages_of(spark, folder))
-    rows = ix.postings(ix.field_tokens(parsed, {"TITLE": "title", "BODY": "body", "META_DESC": "description", "URL": "url"}))
+    rows = ix.postings(parsed, {"TITLE": "title", "BODY": "body", "META_DESC": "description", "URL": "url"})
     return rows.groupBy("term", F.col("field").cast("long").alias("field")).agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
@@ -273,8 +276,8 @@ def pagination(spark, folder):
 @query
 def batch_search(spark, folder):
     """Every benchmark item as a query over documents, in one job."""
-    words = ix.field_tokens(read(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), {"BODY": "text"})
-    asked = tx.with_stems(words).groupBy(F.col("doc_id").alias("query_id"), "term").agg(F.count("*").alias("times"))
+    words = ix.postings(read(spark, folder, "benchmark"), {"BODY": "text"}, key="item_id")
+    asked = words.select(F.col("doc_id").alias("query_id"), "term", F.col("tf").cast("long").alias("times"))
     found = rk.batch_top(asked, *tables(body_store(spark, folder)), k=3)
     return found.select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -402,8 +405,10 @@ def html_lenient(spark, folder):
 @query
 def heading_postings(spark, folder):
     """Headings as fields of several calls: term frequencies add up, positions restart, lengths count (call, term) pairs."""
-    tokens = ix.field_tokens(ix.parsed_documents(_lenient(spark, folder)), {"H1": "h1", "H2": "h2"})
-    rows = ix.postings(tokens).filter("term IN ('head', 'more', 'sub')").join(ix.doc_lengths(tokens), "doc_id")
+    columns = {"H1": "h1", "H2": "h2"}
+    parsed = ix.parsed_documents(_lenient(spark, folder))
+    lengths = parsed.select("doc_id", ix.doc_length(parsed, columns).alias("doc_length"))
+    rows = ix.postings(parsed, columns).filter("term IN ('head', 'more', 'sub')").join(lengths, "doc_id")
     return rows.select("doc_id", "term", F.col("field").cast("long").alias("field"), F.col("tf").cast("long").alias("tf"), joined(F.col("positions")).alias("positions"), F.col("doc_length").cast("long").alias("doc_length"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 import lodeseek.streaming
 from lodeseek.functions.urls import domain_mt, url_normalize_mt
-from lodeseek.operators.index import build_docs, doc_lengths, field_tokens, index_stats, latest, merge_postings, parsed_documents, postings, terms
+from lodeseek.operators.index import build_docs, index_stats, latest, merge_postings, parsed_documents, postings, terms
 from lodeseek.sources.store import IndexStore
 
 cloudpickle.register_pickle_by_value(lodeseek.streaming)
@@ -25,8 +25,7 @@ COLUMNS = {"TITLE": "title", "H1": "h1", "H2": "h2", "BODY": "body", "META_DESC"
 
 def index_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """docs and postings of index input (doc_id, url, title, h1, h2, body, description, dates, era)."""
-    tokens = field_tokens(parsed, COLUMNS)
-    return {"docs": build_docs(parsed, doc_lengths(tokens), "body"), "postings": postings(tokens)}
+    return {"docs": build_docs(parsed, COLUMNS, "body"), "postings": postings(parsed, COLUMNS)}
 
 
 def merge_batch(store: IndexStore, pages: DataFrame) -> None:
