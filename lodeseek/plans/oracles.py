@@ -369,7 +369,7 @@ ORACLES = {
     "stop_words": f"WITH {D} SELECT word, count(*) AS n FROM (SELECT unnest({WORDS.format('text')}) AS word FROM d) WHERE word IN ({quoted(STOP_WORDS)}) GROUP BY word",
     "stem_vocab": f"WITH {D}, {TOK}, {stem_ctes('tok')} SELECT token, stem FROM stems",
     "snippet": f"WITH {D} SELECT doc_id, {snippet('text')} AS snippet FROM d",
-    "trim_whitespace": f"""WITH {D} SELECT doc_id, {trimmed("' ' || chr(9) || chr(10) || substr(text, 1, 40) || chr(12) || chr(10) || ' '")} AS trimmed FROM d""",
+    "trim_whitespace": f"""WITH {D} SELECT doc_id, {trimmed("' ' || chr(9) || chr(10) || text || chr(12) || chr(10) || ' '")} AS trimmed FROM d""",
     "eras": """SELECT era, CASE WHEN lower(era) IN ('pre-ai', 'preai', 'pre_ai', 'human') THEN 'PRE_AI' WHEN lower(era) IN ('transition', 'trans') THEN 'TRANSITION' WHEN lower(era) IN ('ai-era', 'ai_era', 'aiera', 'ai') THEN 'AI_ERA' END AS parsed,
         CASE WHEN lower(era) IN ('pre-ai', 'pre_ai', 'preai') THEN 'PRE_AI' WHEN lower(era) IN ('post-ai', 'post_ai', 'postai', 'ai-era', 'ai_era', 'aiera') THEN 'AI_ERA' ELSE 'UNKNOWN' END AS stored
         FROM (VALUES ('pre-ai'), ('PreAI'), ('pre_ai'), ('human'), ('trans'), ('Transition'), ('ai-era'), ('aiera'), ('AI'), ('post-ai'), (''), ('x')) t(era)""",
