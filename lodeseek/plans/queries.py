@@ -17,7 +17,7 @@ from lodeseek.operators import ranking as rk
 from lodeseek.operators import robots as rb
 from lodeseek.plans import fixtures as fx
 from lodeseek.plans.query import parse_query
-from lodeseek.session import shared_path
+from lodeseek.session import shared_path, spread
 from lodeseek.sources import pages as pg
 from lodeseek.sources import store as st
 
@@ -47,7 +47,7 @@ def joined(array: Column) -> Column:
 
 
 def body_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return ix.postings(docs_of(spark, folder), {"BODY": "text"})
+    return ix.postings(spread(docs_of(spark, folder)), {"BODY": "text"})
 
 
 _STORES: dict[tuple[str, str, str], st.IndexStore] = {}
@@ -69,11 +69,11 @@ def stored(spark: SparkSession, folder: str, kind: str, source: DataFrame, colum
 
 
 def body_store(spark: SparkSession, folder: str) -> st.IndexStore:
-    return stored(spark, folder, "body", docs_of(spark, folder), {"BODY": "text"}, "text")
+    return stored(spark, folder, "body", spread(docs_of(spark, folder)), {"BODY": "text"}, "text")
 
 
 def page_store(spark: SparkSession, folder: str) -> st.IndexStore:
-    parsed = ix.parsed_documents(pages_of(spark, folder))
+    parsed = ix.parsed_documents(spread(pages_of(spark, folder)))
     return stored(spark, folder, "pages", parsed, {"TITLE": "title", "BODY": "body", "META_DESC": "description", "URL": "url"}, "body")
 
 
@@ -123,7 +123,7 @@ def stop_words(spark, folder):
 
 @query
 def stem_vocab(spark, folder):
-    return tx.stemmed(docs_of(spark, folder).select(F.explode(tx.kept_tokens(F.col("text"))).alias("token")).distinct())
+    return tx.stemmed(spread(docs_of(spark, folder)).select(F.explode(tx.kept_tokens(F.col("text"))).alias("token")).distinct())
 
 
 @query
@@ -163,7 +163,7 @@ def doc_length(spark, folder):
 
 
 def _lengths(spark, folder):
-    docs = docs_of(spark, folder)
+    docs = spread(docs_of(spark, folder))
     return docs.select("doc_id", ix.doc_length(docs, {"BODY": "text"}).cast("long").alias("doc_length"))
 
 
@@ -204,7 +204,7 @@ def merge_index(spark, folder):
 
 @query
 def multi_field_index(spark, folder):
-    parsed = ix.parsed_documents(pages_of(spark, folder))
+    parsed = ix.parsed_documents(spread(pages_of(spark, folder)))
     rows = ix.postings(parsed, {"TITLE": "title", "BODY": "body", "META_DESC": "description", "URL": "url"})
     return rows.groupBy("term", F.col("field").cast("long").alias("field")).agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
@@ -318,7 +318,7 @@ def rewritten(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scores(spark, folder, f, name):
-    return rewritten(spark, folder).select("doc_id", F.round(f(F.col("text")), 6).alias(name))
+    return spread(rewritten(spark, folder)).select("doc_id", F.round(f(F.col("text")), 6).alias(name))
 
 
 @query

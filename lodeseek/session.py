@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,6 +22,15 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """frame, dealt to every core where its scan has fewer partitions than there are cores, as a small file of one row group has.
+
+    Meant for work that costs far more than moving its rows. Tables of many partitions are not moved.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, spark.checkpoint.dir; local sessions without one get a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
