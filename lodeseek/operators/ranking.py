@@ -85,6 +85,12 @@ def top(matches: DataFrame, k: int = 100) -> DataFrame:
     return matches.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def result_totals(matches: DataFrame, limit: int = 10) -> DataFrame:
+    """One row: total_matches, counted before any cut, and total_pages of 1 to 100 rows each."""
+    limit = max(1, min(100, limit))
+    return matches.agg(F.count("*").alias("total_matches"), F.ceil(F.count("*") / limit).alias("total_pages"))
+
+
 def page_of(matches: DataFrame, page: int = 1, limit: int = 10) -> DataFrame:
     """The rows of one page, of 1 to 100 rows."""
     limit = max(1, min(100, limit))

@@ -371,6 +371,7 @@ ORACLES = {
     "snippet": f"WITH {D} SELECT doc_id, {snippet('text')} AS snippet FROM d",
     "trim_whitespace": f"""WITH {D} SELECT doc_id, {trimmed("' ' || chr(9) || chr(10) || text || chr(12) || chr(10) || ' '")} AS trimmed FROM d""",
     "eras": """SELECT era, CASE WHEN lower(era) IN ('pre-ai', 'preai', 'pre_ai', 'human') THEN 'PRE_AI' WHEN lower(era) IN ('transition', 'trans') THEN 'TRANSITION' WHEN lower(era) IN ('ai-era', 'ai_era', 'aiera', 'ai') THEN 'AI_ERA' END AS parsed,
+        CASE WHEN lower(era) IN ('pre-ai', 'preai', 'pre_ai', 'human') THEN 'Pre-AI' WHEN lower(era) IN ('transition', 'trans') THEN 'Transition' WHEN lower(era) IN ('ai-era', 'ai_era', 'aiera', 'ai') THEN 'AI-Era' ELSE 'Unknown' END AS display,
         CASE WHEN lower(era) IN ('pre-ai', 'pre_ai', 'preai') THEN 'PRE_AI' WHEN lower(era) IN ('post-ai', 'post_ai', 'postai', 'ai-era', 'ai_era', 'aiera') THEN 'AI_ERA' ELSE 'UNKNOWN' END AS stored
         FROM (VALUES ('pre-ai'), ('PreAI'), ('pre_ai'), ('human'), ('trans'), ('Transition'), ('ai-era'), ('aiera'), ('AI'), ('post-ai'), (''), ('x')) t(era)""",
     "tokenize_positions": f"""WITH {D}, v AS (SELECT doc_id, regexp_extract_all(text, '[^A-Za-z0-9]*[A-Za-z0-9]+') AS runs FROM d),
@@ -397,6 +398,9 @@ ORACLES = {
     "ai_filter_max": f"WITH {ranked({'attion': 1}, where='ai_score <= 0.1')} {SCORED}",
     "ai_filter_min": f"WITH {ranked({'attion': 1, 'thing': 1}, where='ai_score >= 0.1')} {SCORED}",
     "ai_penalty": f"WITH {D}, {ai_ctes('d')} SELECT doc_id, round(ai_score * 0.2, 6) AS penalty, round(10 * (1 - ai_score * 0.2), 6) AS final FROM ai",
+    "tokenize_stemmed": f"WITH {D}, {TOK}, {stem_ctes('tok')} SELECT stem AS term, count(*) AS n, max(position) AS last FROM tok JOIN stems USING (token) GROUP BY stem",
+    "range_size": "SELECT CAST(sum(strlen('c:' || c_custkey) + strlen(c_name)) AS BIGINT) AS bytes FROM customer WHERE 'c:' || c_custkey >= 'c:2' AND 'c:' || c_custkey < 'c:5'",
+    "result_totals": f"WITH {ranked(FLAG)} SELECT count(*) AS total_matches, CAST(ceil(count(*) / 7.0) AS BIGINT) AS total_pages FROM m",
     "pagination": f"WITH {ranked(FLAG)} SELECT doc_id, round(relevance, 6) AS relevance, round(score, 6) AS score FROM (SELECT * FROM m ORDER BY score DESC, doc_id LIMIT 5 OFFSET 5)",
     "site_filter": f"WITH {ranked({'thing': 1, 'onth': 1}, where="(domain = 'example.com' OR ends_with(domain, '.example.com'))", index=PAGE_INDEX, docs=f"SELECT doc_id, 'unknown' AS era, {domain_stored('url')} AS domain FROM pd")} {SCORED}",
     "era_filter": f"WITH {ranked({'attion': 1}, where="era = 'post-ai'", docs="SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pre-ai' WHEN doc_id % 3 = 1 THEN 'post-ai' ELSE 'unknown' END AS era, '' AS domain FROM d")} {SCORED}",

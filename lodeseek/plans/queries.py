@@ -115,6 +115,12 @@ def tokenize_positions(spark, folder):
     return tx.token_rows(docs_of(spark, folder), "doc_id", "text").select("doc_id", F.col("position").cast("long").alias("position"), "original", F.col("char_offset").cast("long").alias("char_offset"), "token")
 
 
+@query
+def tokenize_stemmed(spark, folder):
+    """Documents' tokens as the tokenizer gives them, stemmed, counted with their last positions."""
+    return body_postings(spark, folder).groupBy("term").agg(F.sum("tf").alias("n"), F.max(F.element_at("positions", -1)).cast("long").alias("last"))
+
+
 @query
 def stop_words(spark, folder):
     words = docs_of(spark, folder).select(F.explode(tx.tokenize_plain(F.col("text"))).alias("word"))
@@ -140,7 +146,7 @@ def trim_whitespace(spark, folder):
 def eras(spark, folder):
     names = ["pre-ai", "PreAI", "pre_ai", "human", "trans", "Transition", "ai-era", "aiera", "AI", "post-ai", "", "x"]
     rows = fx.frame(spark, [(n,) for n in names], "era string")
-    return rows.select("era", tx.parse_era(F.col("era")).alias("parsed"), tx.string_to_era(F.col("era")).alias("stored"))
+    return rows.select("era", tx.parse_era(F.col("era")).alias("parsed"), tx.era_to_string(tx.parse_era(F.col("era"))).alias("display"), tx.string_to_era(F.col("era")).alias("stored"))
 
 
 # Index
@@ -273,6 +279,11 @@ def pagination(spark, folder):
     return scored(rk.page_of(search(spark, folder, FLAGSHIP), 2, 5))
 
 
+@query
+def result_totals(spark, folder):
+    return rk.result_totals(search(spark, folder, FLAGSHIP), 7)
+
+
 @query
 def batch_search(spark, folder):
     """Every benchmark item as a query over documents, in one job."""
@@ -574,6 +585,12 @@ def key_values(spark, folder):
     return st.iterate_prefix(table, "c:1", 50)
 
 
+@query
+def range_size(spark, folder):
+    rows = read(spark, folder, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("key"), F.col("c_name").alias("value"))
+    return st.range_size(rows, "c:2", "c:5")
+
+
 @query
 def count_prefix(spark, folder):
     table = read(spark, folder, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("key"))

@@ -102,13 +102,40 @@ def count_prefix(table: DataFrame, prefix: str, column: str = "key") -> DataFram
     return table.filter(F.startswith(F.col(column), F.lit(prefix))).agg(F.count("*").alias("n"))
 
 
+def range_size(table: DataFrame, first: str, last: str, column: str = "key") -> DataFrame:
+    """One row: bytes, the uncompressed size of the rows with first <= key < last. The range is pushed to the scan; 0 for an empty one."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in table.columns), F.lit(0).cast("long"))
+    return table.filter((F.col(column) >= first) & (F.col(column) < last)).agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
 def put_blobs(pages: DataFrame, path: str, key: str = "key", data: str = "data") -> None:
-    """Blobs compressed at rest; empty ones stay empty."""
-    pages.select(F.col(key).alias("key"), F.col(data).alias("data")).write.mode("append").option("compression", "zstd").parquet(path)
+    """Appends blobs, compressed at rest; empty ones stay empty. Keys are hashes of the contents: equal keys hold equal blobs."""
+    _append(pages.select(F.col(key).alias("key"), F.col(data).alias("data")), f"{path}/blobs")
+
+
+def remove_blobs(keys: DataFrame, path: str, key: str = "key") -> None:
+    """Appends tombstones, which hide what was put before them; blobs are not rewritten."""
+    _append(keys.select(F.col(key).alias("key")), f"{path}/removed")
+
+
+def _append(rows: DataFrame, path: str) -> None:
+    rows.withColumn("at", F.unix_micros(F.current_timestamp())).write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def get_blobs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """(key, data) of all blobs that are not removed."""
+    blobs = spark.read.schema("key string, data binary, at long").parquet(f"{path}/blobs")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/removed")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        gone = spark.read.schema("key string, at long").parquet(f"{path}/removed").groupBy("key").agg(F.max("at").alias("until"))
+        blobs = blobs.join(gone, (blobs["key"] == gone["key"]) & (blobs["at"] <= gone["until"]), "left_anti")
+    return blobs.select("key", "data")
+
+
+def blob_exists(spark: SparkSession, path: str, keys: DataFrame, key: str = "key") -> DataFrame:
+    """keys with a column exists; contents are not read."""
+    have = get_blobs(spark, path).select(F.col("key").alias("_k")).distinct()
+    return keys.join(have, F.col(key) == F.col("_k"), "left").select(*keys.columns, F.col("_k").isNotNull().alias("exists"))
 
 
 def compress(data: bytes) -> bytes:
