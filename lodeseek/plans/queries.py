@@ -80,7 +80,7 @@ def page_store(spark: SparkSession, folder: str) -> st.IndexStore:
 def tables(store: st.IndexStore, words: list[str] | None = None) -> tuple[DataFrame, ...]:
     """docs, postings (of words alone, if given), terms, statistics."""
     docs, terms = store.read("docs"), store.read("terms")
-    rows = store.read("postings").drop("bucket") if words is None else store.term_postings(words)
+    rows = store.read("postings") if words is None else store.term_postings(words)
     return docs, rows, terms, store.read("stats")
 
 

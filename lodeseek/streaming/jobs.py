@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 import lodeseek.streaming
 from lodeseek.functions.urls import domain_mt, url_normalize_mt
-from lodeseek.operators.index import build_docs, index_stats, latest, merge_postings, parsed_documents, postings, terms
+from lodeseek.operators.index import build_docs, index_stats, latest, parsed_documents, postings
 from lodeseek.sources.store import IndexStore
 
 cloudpickle.register_pickle_by_value(lodeseek.streaming)
@@ -29,17 +29,20 @@ def index_tables(parsed: DataFrame) -> dict[str, DataFrame]:
 
 
 def merge_batch(store: IndexStore, pages: DataFrame) -> None:
-    """Indexes the pages' latest versions, by crawled_at, and publishes base and delta as one new version."""
+    """Indexes the pages' latest versions, by crawled_at, as a new segment; the rest of the index is not rewritten."""
     version = F.struct(F.coalesce("crawled_at", F.lit(0)), F.xxhash64("url", "html")) if "crawled_at" in pages.columns else F.xxhash64("url", "html")
     delta = index_tables(parsed_documents(latest(pages, "page_id", version)))
+    store.append(delta | {"terms": lambda read: term_changes(store, read("docs"), read("postings"))}, index_stats)
+
+
+def term_changes(store: IndexStore, docs: DataFrame, posting_rows: DataFrame) -> DataFrame:
+    """(term, df): new postings count for their terms, those of replaced documents against them. Without replaced documents no old posting is read."""
+    rows = posting_rows.filter("leads").select("term", F.lit(1).alias("n"))
     if store.current() is not None:
-        base = {n: store.read(n) for n in ("docs", "postings")}
-        new = delta["docs"].select("doc_id")
-        delta["docs"] = base["docs"].join(new, "doc_id", "left_anti").unionByName(delta["docs"])
-        delta["postings"] = merge_postings(base["postings"].drop("bucket"), delta["postings"])
-    delta["terms"] = lambda read: terms(read("postings"))
-    delta["stats"] = lambda read: index_stats(read("docs"), read("terms"))
-    store.commit(delta)
+        replaced = store.read("docs").select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+        if not replaced.isEmpty():
+            rows = rows.union(store.read("postings").filter("leads").join(docs.select("doc_id"), "doc_id", "left_semi").select("term", F.lit(-1)))
+    return rows.groupBy("term").agg(F.sum("n").alias("df")).filter("df <> 0")
 
 
 def index_stream(spark: SparkSession, source: str, root: str, checkpoint: str, files: int = 100) -> StreamingQuery:

@@ -39,6 +39,28 @@ def test_incremental_index_equals_full_build(spark, tmp_path):
     assert h1[("again", 4)] == [0] and h1[("beta", 4)] == [0]
 
 
+def test_segments_grow_and_merge(spark, tmp_path):
+    """Any order of new, changed and empty pages gives the index of the last versions, in few segments; old versions are cleared."""
+    store, last = IndexStore(spark, str(tmp_path / "index"), buckets=4), {}
+    batches = [[(i, f"t{i}", f"word{i}", "common text", 1) for i in range(12)], [(3, "new", "head", "birds", 2)], [(20, "x", "y", "common", 2)], [(3, "newer", "head", "common fish", 3), (20, "x", "y", "gone", 4)], [(21, "q", "word1", "z", 5)]]
+    for batch in batches:
+        jobs.merge_batch(store, pages(spark, batch))
+        last |= {row[0]: row for row in batch}
+    empty = spark.createDataFrame([(40, None, None, 1)], jobs.PAGES)
+    jobs.merge_batch(store, empty)
+    whole = IndexStore(spark, str(tmp_path / "whole"))
+    jobs.merge_batch(whole, pages(spark, list(last.values())).union(empty))
+    assert tables(store) == tables(whole)
+    assert [tuple(r) for r in store.read("stats").collect()] == [tuple(r) for r in whole.read("stats").collect()]
+    assert 1 < len(store.segments()) <= 4
+    assert {r["doc_id"] for r in store.term_postings(["common"]).collect()} == {*range(12), 3}
+    store.vacuum(1)
+    assert len(store.versions()) == 1 and tables(store) == tables(whole)
+    none = IndexStore(spark, str(tmp_path / "none"))
+    jobs.merge_batch(none, empty)
+    assert none.read("postings").count() == 0 and none.read("docs").count() == 1
+
+
 def test_seen_set_and_politeness(spark, tmp_path):
     rows = [("http://a.test/1", 1000), ("http://a.test/1#x", 1001), ("http://a.test/2", 1002), ("http://b.test/", 1003), ("bad", 1004)]
     frame = spark.createDataFrame(rows, "url string, at long").select("url", F.timestamp_millis("at").alias("ts"))
