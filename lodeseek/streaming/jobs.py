@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,12 +15,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 import lodeseek.streaming
 from lodeseek.functions.urls import domain_mt, url_normalize_mt
 from lodeseek.operators.index import build_docs, index_stats, latest, parsed_documents, postings
+from lodeseek.session import shared_path
+from lodeseek.sources.pages import mark_indexed, unindexed
 from lodeseek.sources.store import IndexStore
 
 cloudpickle.register_pickle_by_value(lodeseek.streaming)
 
 #: crawled_at, in seconds, tells versions of a page apart; sources may lack it.
 PAGES = "page_id long, url string, html string, crawled_at long"
+#: Urls that hold one of these are not indexed.
+SKIPPED = ("test-", "example.com")
 COLUMNS = {"TITLE": "title", "H1": "h1", "H2": "h2", "BODY": "body", "META_DESC": "description", "URL": "url"}
 
 
@@ -45,6 +50,27 @@ def term_changes(store: IndexStore, docs: DataFrame, posting_rows: DataFrame) ->
     return rows.groupBy("term").agg(F.sum("n").alias("df")).filter("df <> 0")
 
 
+def index_round(store: IndexStore, table: DataFrame, blobs: DataFrame, limit: int = 100, skip: tuple[str, ...] = SKIPPED) -> tuple[DataFrame, DataFrame]:
+    """One round over a page table: its oldest unindexed pages are indexed. (The table after it, one row of counts: indexed, skipped, failed).
+
+    Pages whose url holds a text of skip are passed over; those without a blob (key, data) of their content_hash have failed. Both are
+    marked as indexed too, so that no round meets them again. A document's id is the table's page_id or, without one, its url's hash.
+    """
+    spark = table.sparkSession
+    named = table if "page_id" in table.columns else table.withColumn("page_id", F.xxhash64("url"))
+    passed = functools.reduce(Column.__or__, [F.contains("url", F.lit(s)) for s in skip], F.lit(False))
+    held = blobs.select(F.col("key").alias("content_hash"), F.col("data").cast("string").alias("html")).dropDuplicates(["content_hash"])
+    # The round's rows are fixed by writing them: what is indexed, counted and marked is the same.
+    path = shared_path(spark, "round")
+    unindexed(named, limit).join(held, "content_hash", "left").select("page_id", "url", "html", F.unix_seconds("crawled_at").alias("crawled_at"), passed.alias("skipped")).write.parquet(path)
+    batch = spark.read.parquet(path)
+    good = batch.filter("NOT skipped AND html IS NOT NULL")
+    if not good.isEmpty():
+        merge_batch(store, good.drop("skipped"))
+    counts = batch.agg(F.count_if(~F.col("skipped") & F.col("html").isNotNull()).alias("indexed"), F.count_if("skipped").alias("skipped"), F.count_if(~F.col("skipped") & F.col("html").isNull()).alias("failed"))
+    return mark_indexed(table, batch), counts
+
+
 def index_stream(spark: SparkSession, source: str, root: str, checkpoint: str, files: int = 100) -> StreamingQuery:
     """Indexes what has arrived under source and ends. A batch that is run again replaces the same documents by the same."""
     arriving = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files).parquet(source)

@@ -1,5 +1,7 @@
 """The streaming jobs: incremental indexing equals a full build; the seen set and politeness keep what they promise."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from lodeseek.operators import index as ix
@@ -61,6 +63,21 @@ def test_segments_grow_and_merge(spark, tmp_path):
     assert none.read("postings").count() == 0 and none.read("docs").count() == 1
 
 
+def test_index_round(spark, tmp_path):
+    from lodeseek.sources.pages import SCHEMA
+
+    urls = ["http://h.test/a", "http://www.example.com/b", "http://h.test/test-c", "http://h.test/lost", "http://h.test/late"]
+    rows = [(u, "h.test", datetime.datetime(2024, 1, 1 + i), 200, None if "lost" in u else f"k{i}", 1, None, None, False) for i, u in enumerate(urls)]
+    table, store = spark.createDataFrame(rows, SCHEMA), IndexStore(spark, str(tmp_path / "index"))
+    blobs = spark.createDataFrame([(f"k{i}", bytearray(PAGE.format(t="t", h="h", b=f"body{i}").encode())) for i in (0, 1, 4)], "key string, data binary")
+    table, counts = jobs.index_round(store, table, blobs, limit=4)
+    assert tuple(counts.first()) == (1, 2, 1) and [r["url"] for r in store.read("docs").collect()] == urls[:1]
+    assert [r["url"] for r in table.filter("NOT indexed").collect()] == urls[4:]
+    table, counts = jobs.index_round(store, table, blobs)
+    assert tuple(counts.first()) == (1, 0, 0) and store.read("docs").count() == 2 and table.filter("NOT indexed").isEmpty()
+    assert tuple(jobs.index_round(store, table, blobs)[1].first()) == (0, 0, 0)
+
+
 def test_seen_set_and_politeness(spark, tmp_path):
     rows = [("http://a.test/1", 1000), ("http://a.test/1#x", 1001), ("http://a.test/2", 1002), ("http://b.test/", 1003), ("bad", 1004)]
     frame = spark.createDataFrame(rows, "url string, at long").select("url", F.timestamp_millis("at").alias("ts"))
