@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.functions.urls import domain_mt, is_acceptable, url_domain, url_normalize, url_normalize_mt
+from lodeseek.functions.urls import domain_mt, is_acceptable, is_normalisable_mt, url_domain, url_normalize, url_normalize_mt
 from lodeseek.operators.robots import delay_ms, robots_allowed
 
 PRIORITIES = {"SEED": 0, "HIGH": 1, "NORMAL": 2, "LOW": 3}
@@ -24,8 +24,8 @@ def admitted(urls: DataFrame, seen: DataFrame | None = None, mt: bool = False, u
 
 def counters(urls: DataFrame, new: DataFrame, mt: bool = True, url: str = "url") -> DataFrame:
     """One row: urls_added, duplicates_rejected, invalid."""
-    normal = url_normalize_mt(F.col(url)) if mt else url_normalize(F.col(url))
-    asked = urls.agg(F.count_if(normal != "").alias("valid"), F.count_if(normal == "").alias("invalid"))
+    valid = is_normalisable_mt(F.col(url)) if mt else url_normalize(F.col(url)) != ""
+    asked = urls.agg(F.count_if(valid).alias("valid"), F.count_if(~valid).alias("invalid"))
     return asked.withColumn("_one", F.lit(1)).join(new.agg(F.count("*").alias("urls_added")).withColumn("_one", F.lit(1)), "_one").select("urls_added", (F.col("valid") - F.col("urls_added")).alias("duplicates_rejected"), "invalid")
 
 

@@ -18,3 +18,15 @@ def test_best_date_works_out_its_inputs_once(spark):
     rows = spark.createDataFrame([("", "2021-05-06", "http://h/2020/03/", "x"), ("none", "", "", "(c) 2015"), (None, None, None, None)], "p string, m string, u string, t string")
     found = rows.select(*(c.alias(n) for c, n in zip(dates.best_dates(*map(F.col, "pmut")), ("published", "modified", "era")))).collect()
     assert [r["era"] for r in found] == ["pre-ai", "pre-ai", "unknown"] and found[1]["published"] == 1435752000 and found[2]["published"] == 0
+
+
+def test_frontier_counters_try_the_url_pattern_once(spark):
+    """Each part of a normalised URL repeated the patterns before it, and counting made every URL again."""
+    plan = optimized(QUERIES["frontier_counters"](spark, FOLDER))
+    assert plan.count("(?is)^(https?)") <= 20
+
+
+def test_stem_vocab_tests_distinct_words_alone(spark):
+    """Stop words were looked up for every token, before words were made distinct."""
+    plan = optimized(QUERIES["stem_vocab"](spark, FOLDER))
+    assert "yourselves" not in plan[plan.index("Generate") :]
