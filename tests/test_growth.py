@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodeseek.functions import dates
+from lodeseek.functions import aiscore, dates
 from lodeseek.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -30,3 +30,10 @@ def test_stem_vocab_tests_distinct_words_alone(spark):
     """Stop words were looked up for every token, before words were made distinct."""
     plan = optimized(QUERIES["stem_vocab"](spark, FOLDER))
     assert "yourselves" not in plan[plan.index("Generate") :]
+
+
+def test_phrases_are_counted_without_a_pattern_of_all(spark):
+    """A pattern of all phrases tried each of them at every character."""
+    assert "delve|delves" not in optimized(QUERIES["ai_vocab"](spark, FOLDER))
+    rows = spark.createDataFrame([("DELVE delves Ärobust",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(aiscore.phrase_count(F.col("t"))).collect()] == [4, 0, 0]
