@@ -1,8 +1,12 @@
 """Plans of queries that grew faster than their input."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from lodeseek.functions import aiscore, dates
+from lodeseek.functions import aiscore, dates, tokens
+from lodeseek.functions import text as tx
+from lodeseek.functions.fixed import STOP_WORDS
 from lodeseek.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,3 +41,22 @@ def test_phrases_are_counted_without_a_pattern_of_all(spark):
     assert "delve|delves" not in optimized(QUERIES["ai_vocab"](spark, FOLDER))
     rows = spark.createDataFrame([("DELVE delves Ärobust",), ("",), (None,)], "t string")
     assert [r[0] for r in rows.select(aiscore.phrase_count(F.col("t"))).collect()] == [4, 0, 0]
+
+
+def test_token_positions_are_made_in_place(spark, monkeypatch):
+    """Windows over every run of letters shuffled and sorted them all."""
+    frame = QUERIES["tokenize_positions"](spark, FOLDER)
+    plan = optimized(frame)
+    assert "Window" not in plan and "Sort" not in plan and "MapInArrow" in plan
+    monkeypatch.setattr(tokens, "PIECE", 7)
+    rows = [(1, "é The cats, CATS" * 9), (2, None), (3, ""), (None, "x" * 101 + " y"), (4, "abc"), (5, "deF" + "g" * 20 + "-" * 20), (6, "-KK1\U0001f600z")]
+    want = []
+    for key, text in rows:
+        n = 0
+        for m in re.finditer(rb"[A-Za-z0-9]+", (text or "").encode()):
+            word = m[0].decode()
+            if len(word) <= 100 and word.lower() not in STOP_WORDS:
+                want.append((key, n, word, m.start(), word.lower()))
+                n += 1
+    got = tx.token_rows(spark.createDataFrame(rows, "k long, t string").coalesce(1), "k", "t").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
