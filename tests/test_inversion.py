@@ -9,6 +9,7 @@ from lodeseek.functions import text as tx
 from lodeseek.functions.fixed import STOP_WORDS
 from lodeseek.operators import index as ix
 from lodeseek.operators import inversion as inv
+from lodeseek.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 ROWS = [(1, "The cats; CATS and cafés", ["One two", "two", None]), (2, None, None), (3, "", []), (None, "lone word " * 3, ["x" * 101]), (5, "Kelvin İstanbul " + "running " * 70000, ["running"])]
@@ -45,3 +46,25 @@ def test_postings_equal_a_loop(spark, monkeypatch):
     df = {r["term"]: r["df"] for r in ix.terms(ix.postings(docs, columns, "id")).collect()}
     assert df == Counter(w[0] for w in want if w[5]) and df["run"] == 1
     assert ix.postings(docs.limit(0), columns, "id").count() == 0
+
+
+def test_statistics_of_one_pass_equal_those_of_the_index(spark, monkeypatch):
+    """Average lengths made every posting, with positions, to count terms, and went over all texts a second time for lengths."""
+    monkeypatch.setattr(inv, "MOST_STEMS", 3)
+    monkeypatch.setattr(inv, "MOST_COUNTS", 4)
+    columns = {"BODY": "body", "H1": "h1"}
+    rows = ROWS + [(n, f"common word{n % 7} word{n % 11} " * (n % 3), ["common"]) for n in range(6, 150)]
+    docs = spark.createDataFrame(rows, "id long, body string, h1 array<string>")
+    for some in (docs, docs.limit(0)):
+        stored = some.select(F.col("id").alias("doc_id"), ix.doc_length(some, columns).alias("doc_length"))
+        terms = ix.terms(ix.postings(some, columns, "id"))
+        assert Counter(map(tuple, ix.counted_terms(some, columns).collect())) == Counter(map(tuple, terms.collect()))
+        for mode in ("sample100", "exact"):
+            assert ix.counted_stats(some, columns, mode, "id").collect() == ix.index_stats(stored, terms, mode).collect()
+
+
+def test_average_lengths_read_texts_once(spark):
+    plan = lambda name: QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("avgdl_exact").count("MapInArrow") == 1 and "ArrowEvalPython" not in plan("avgdl_exact")
+    sampled = plan("avgdl_sample100")
+    assert "ArrowEvalPython" not in sampled and sampled.index("GlobalLimit") > sampled.rindex("MapInArrow")
