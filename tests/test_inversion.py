@@ -68,3 +68,12 @@ def test_average_lengths_read_texts_once(spark):
     assert plan("avgdl_exact").count("MapInArrow") == 1 and "ArrowEvalPython" not in plan("avgdl_exact")
     sampled = plan("avgdl_sample100")
     assert "ArrowEvalPython" not in sampled and sampled.index("GlobalLimit") > sampled.rindex("MapInArrow")
+
+
+def test_document_frequencies_need_no_positions(spark):
+    """Every posting went from Python to the JVM with its positions, and a table of 2^18 stems filled up in each worker."""
+    for name in ("token_df", "idf"):
+        assert "positions" not in QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    stems = inv.Stems(1, 100, STOP_WORDS)
+    assert all(stems[b"%d" % n] == str(n) for n in range(300_000))
+    assert len(stems) + len(stems.before) <= 1 << 17 and stems[b"the"] is None and stems[b"299999"] == "299999"
